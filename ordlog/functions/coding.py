@@ -71,9 +71,10 @@ def checksum(x: Column) -> Column:
 def shared_prefix(a: Column, b: Column) -> Column:
     """Characters that both texts start with; 0 if either is null."""
     differs = lambda i: F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1))
-    least = F.least(F.length(a), F.length(b))
+    least = F.coalesce(F.least(F.length(a), F.length(b)), F.lit(0))  # least() passes over nulls, but both lengths must be known
+    least = F.when(a.isNull() | b.isNull(), 0).otherwise(least)
     first = F.when(least > 0, F.get(F.filter(F.sequence(F.lit(1), least), differs), F.lit(0)))
-    return F.coalesce(F.when(least.isNull(), 0).when(least == 0, 0).otherwise(F.coalesce(first - 1, least)), F.lit(0)).cast("bigint")
+    return F.coalesce(first - 1, least).cast("bigint")
 
 
 def shortest_separator(a: Column, b: Column) -> Column:
