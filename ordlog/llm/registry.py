@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ordlog.llm import packing, sharding, token_counts
+from ordlog.llm import line_dedup, packing, sharding, simhash, token_counts
 from ordlog.llm.common import table
 
 QUERIES: dict = {}
@@ -30,3 +30,14 @@ def op6_sharding(spark, d):
 @query
 def op7_token_counts(spark, d):
     return token_counts.histogram(table(spark, d, "documents"))
+
+
+@query
+def op9_line_dedup(spark, d):
+    return line_dedup.deduplicate(table(spark, d, "documents"))
+
+
+@query
+def op10_simhash(spark, d):
+    out = simhash.near_duplicates(table(spark, d, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
