@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ordlog.llm import line_dedup, packing, sharding, simhash, token_counts
+from ordlog.llm import language_id, line_dedup, nearest, packing, sharding, simhash, token_counts
 from ordlog.llm.common import table
 
 QUERIES: dict = {}
@@ -17,6 +17,16 @@ def query(f):
     return f
 
 
+@query
+def op1_language_id(spark, d):
+    return language_id.identify(table(spark, d, "documents"))
+
+
+@query
+def op2_nearest_neighbours(spark, d):
+    return nearest.nearest(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op3_best_fit_packing(spark, d):
     return packing.pack(table(spark, d, "documents"))
