@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ordlog.llm import language_id, line_dedup, nearest, packing, sharding, simhash, token_counts
+from ordlog.llm import decontamination, language_id, line_dedup, nearest, packing, pii, sharding, simhash, token_counts, url_filter
 from ordlog.llm.common import table
 
 QUERIES: dict = {}
@@ -32,6 +32,19 @@ def op3_best_fit_packing(spark, d):
     return packing.pack(table(spark, d, "documents"))
 
 
+@query
+def op4_decontamination(spark, d):
+    return decontamination.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("uid")
+
+
+@query
+def op5_url_filter(spark, d):
+    return url_filter.judge(table(spark, d, "pages"))
+
+
+ORACLE["op5_url_filter"] = url_filter.SQL
+
+
 @query
 def op6_sharding(spark, d):
     return sharding.assign(table(spark, d, "documents").select("doc_id"), "doc_id", SHARDS)
@@ -42,6 +55,12 @@ def op7_token_counts(spark, d):
     return token_counts.histogram(table(spark, d, "documents"))
 
 
+@query
+def op8_pii(spark, d):
+    docs = table(spark, d, "documents")
+    return pii.digest(docs, pii.train(docs))
+
+
 @query
 def op9_line_dedup(spark, d):
     return line_dedup.deduplicate(table(spark, d, "documents"))
@@ -51,3 +70,10 @@ def op9_line_dedup(spark, d):
 def op10_simhash(spark, d):
     out = simhash.near_duplicates(table(spark, d, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def pipeline(spark, d):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)
