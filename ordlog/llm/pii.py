@@ -38,7 +38,9 @@ _WORDS = {
 FEATURES = ("chars", "digits", "letters", "uppers", "seps", "distinct", "luhn", "keyed", "issuer", "iban", "ssn", "phone_like", "date_like", "before_secret", "before_phone", "before_money", "before_person")
 #: Documents whose candidates are looked at, and candidates at most: the bound on what training collects.
 SAMPLE_DOCS, SAMPLE_SPANS = 20_000, 4_000
-TREES, RATE, PRECISION = 25, 0.3, 0.95
+TREES, RATE, PRECISION, SEED = 40, 0.3, 0.95, 3
+#: Made-up examples that training always sees, so that kinds which a corpus has little of are told too.
+EXAMPLES = 400
 
 
 def found(text: Column, pattern: str, guard: str | None = None) -> Column:
@@ -141,14 +143,15 @@ def fit(x: np.ndarray, y: np.ndarray, kinds: list[str]) -> Forest | None:
     out = Forest([], float(np.log(b.mean() / (1 - b.mean()))))
     cuts = [(f, c) for f in range(x.shape[1]) for c in np.unique(np.quantile(a[:, f], np.linspace(0, 1, 12)[:-1]))]
     sides = np.array([a[:, f] > c for f, c in cuts])
-    score = np.full(len(b), out.prior)
+    score, rnd, of = np.full(len(b), out.prior), np.random.default_rng(SEED), np.array([f for f, _ in cuts])
     for _ in range(TREES):
+        seen = np.isin(of, rnd.choice(x.shape[1], (x.shape[1] + 1) // 2, False))  # half the features for each tree, so that it leans on no single one
         p = 1 / (1 + np.exp(-score))
         g, h = b - p, p * (1 - p)
         gain = lambda m: (m @ g) ** 2 / (m @ h + 1)
-        first = int(np.argmax(gain(sides) + gain(~sides)))
+        first = int(np.argmax(np.where(seen, gain(sides) + gain(~sides), -1)))
         s = sides[first]
-        second = int(np.argmax(sum(gain(q & w) for q in (sides, ~sides) for w in (s, ~s))))
+        second = int(np.argmax(np.where(seen, sum(gain(q & w) for q in (sides, ~sides) for w in (s, ~s)), -1)))
         at = 2 * s + sides[second]
         leaves = tuple(float(RATE * g[at == k].sum() / (h[at == k].sum() + 1)) for k in range(4))
         out.trees.append((cuts[first][0], float(cuts[first][1]), cuts[second][0], float(cuts[second][1]), leaves))
@@ -181,11 +184,26 @@ def checkable(kind: Column, x: Column) -> Column:
     ).cast("int")
 
 
+def examples(n: int = EXAMPLES) -> list[str]:
+    """Made-up texts with one span each, personal and not, in turn."""
+    rnd = np.random.default_rng(SEED)
+    pick = lambda chars, k: "".join(rnd.choice(list(chars), k))
+    num, hexa, word = (lambda k: pick("0123456789", k)), (lambda k: pick("0123456789abcdef", k)), (lambda k: pick("abcdeilnorst", k))
+    big = lambda k: pick("ABCDEFGHJKLMNPQRSTUVWXYZ234567", k)
+    kinds = [
+        lambda: f"password={hexa(18)}", lambda: f'token = "{hexa(40)}"', lambda: f"AKIA{big(16)}", lambda: f"api_key: {hexa(24)}", lambda: f"secret={word(6)}{num(4)}{word(5)}",
+        lambda: f"call {num(3)}-{num(3)}-{num(4)}", lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"ssn {num(3)}-{num(2)}-{num(4)}", lambda: f"iban DE{num(2)} {num(4)} {num(4)} {num(4)} {num(4)} {num(2)}", lambda: f"account {num(4)} {num(6)}",
+        lambda: f"password={word(8)}", lambda: f"token: {pick('ab', 8)}", lambda: f"secret = {word(12)}", lambda: f"key=sk-{word(14)}", lambda: f"in {num(2)}-{num(2)}", lambda: f"on 20{num(2)}-0{num(1)}-1{num(1)}",
+        lambda: f"from 19{num(2)}-20{num(2)}", lambda: f"version {num(2)}.{num(2)}.{num(3)}", lambda: f"{num(3)}.{num(3)}.{num(3)}.{num(3)}", lambda: f"{num(4)} {num(4)} {num(4)}",
+    ]
+    return [f"{word(5)} {word(3)} {kinds[i % len(kinds)]()} {word(6)}" for i in range(n)]
+
+
 def train(docs: DataFrame) -> Forest | None:
-    """Trees from about SAMPLE_DOCS documents, picked by hash of the text, and SAMPLE_SPANS spans of each label in them at most; None if they
-    show no span of either label."""
+    """Trees from about SAMPLE_DOCS documents, picked by hash of the text, and the made-up examples; SAMPLE_SPANS spans of each label at most."""
     n = docs.count()
     text = docs.where("text is not null").where(F.pmod(F.xxhash64("text", F.lit("pii")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_DOCS / max(1, n)))).select("text")
+    text = text.unionByName(docs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, examples()))).alias("text")))
     spans = text.select(F.explode(wide_spans(F.col("text"))).alias("s")).select("s.kind", "s.x", checkable(F.col("s.kind"), F.col("s.x")).alias("y"), F.xxhash64("s.hit").alias("h"))
     rows = [r for y in (0, 1) for r in spans.where(F.col("y") == y).orderBy("h", "kind").limit(SAMPLE_SPANS).collect()]
     rows.sort(key=lambda r: (r["h"], r["kind"]))
