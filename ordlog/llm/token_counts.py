@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ordlog.llm.common import to_python
+from ordlog.llm.common import saved, to_python
 from ordlog.llm.tokens import default_path, encoder
 
 #: Lengths in a block of suffix sums; one row per block is summed over all blocks.
@@ -42,7 +42,8 @@ def histogram(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """A row for each length that occurs: docs and tokens of that length; docs_from and tokens_from of that length and longer; truncated_tokens
     when every document is cut at it; share_up_to, the part of documents no longer. Null and empty texts have length 0, repeated rows count
     each, other columns are ignored, and an empty table gives no rows."""
-    own = lengths(docs, tokenizer).withColumn("tokens", F.col("length") * F.col("docs")).withColumn("_b", F.expr(f"length div {BLOCK}"))
+    own = saved(lengths(docs, tokenizer))  # one row for each length, used twice
+    own = own.withColumn("tokens", F.col("length") * F.col("docs")).withColumn("_b", F.expr(f"length div {BLOCK}"))
     after = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = own.groupBy("_b").agg(F.sum("docs").alias("_d"), F.sum("tokens").alias("_t"))
     blocks = blocks.select("_b", F.coalesce(F.sum("_d").over(after), F.lit(0)).alias("_d"), F.coalesce(F.sum("_t").over(after), F.lit(0)).alias("_t"), F.sum("_d").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"), F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_sum"))
