@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 # The base kinds in order, each with the form of its spans. Java's possessive quantifiers match what the plain ones would here, without a stack.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
@@ -39,25 +39,61 @@ FEATURES = ("chars", "digits", "letters", "uppers", "seps", "distinct", "luhn",
 #: Documents whose candidates are looked at, and candidates at most: the bound on what training collects.
 SAMPLE_DOCS, SAMPLE_SPANS = 20_000, 4_000
 TREES, RATE, PRECISION, SEED = 40, 0.3, 0.95, 3
+#: Characters before a span that are looked at, and matches in a chunk.
+BEFORE, CHUNK = 24, 256
 #: Made-up examples that training always sees, so that kinds which a corpus has little of are told too.
 EXAMPLES = 400
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), where x is evaluated once however often it is used."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def in_chunks(xs: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """use(number, chunk) of each CHUNK elements; one empty chunk for none. xs is evaluated for each chunk."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int"))), lambda i: use(i, F.slice(xs, i * CHUNK + 1, F.lit(CHUNK))))
+
+
 def found(text: Column, pattern: str, guard: str | None = None) -> Column:
-    """The leftmost matches that don't overlap, as structs (start, end, hit) in code points. A match's place is the sum of what stands before it: the
-    text is split at the same matches, and pieces and matches alternate."""
-    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    """The leftmost matches that don't overlap, as structs (start, end, hit, before): places in code points, and the BEFORE characters ahead. A match's
+    place is the sum of what stands before it: the text is split at the same matches, and pieces and matches alternate. Sums run in chunks, which
+    are put after one another, so that many matches in one text don't copy the list of all at each."""
+    none = F.array().cast("array<struct<start:int,end:int,hit:string,before:string>>")
     hits, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pair = F.zip_with(hits, F.slice(parts, 1, F.size(hits)), lambda h, p: F.struct(h.alias("h"), F.length(p).alias("p")))
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    tail = lambda x: F.right(x, F.lit(BEFORE))
+    pair = F.filter(F.zip_with(hits, parts, lambda h, p: F.struct(h.alias("hit"), F.length(p).alias("gap"), tail(p).alias("tail"))), lambda x: x["hit"].isNotNull())
 
     def step(acc: Column, x: Column) -> Column:
-        lo = acc["at"] + x["p"]
-        hi = lo + F.length(x["h"])
-        return F.struct(hi.alias("at"), F.concat(acc["out"], F.array(F.struct(lo.alias("start"), hi.alias("end"), x["h"].alias("hit")))).alias("out"))
+        lo = acc["at"] + x["gap"]
+        hi = lo + F.length(x["hit"])
+        before = tail(F.concat(acc["before"], x["tail"]))
+        return F.struct(hi.alias("at"), tail(F.concat(before, tail(x["hit"]))).alias("before"), F.concat(acc["out"], F.array(F.struct(lo.alias("start"), hi.alias("end"), x["hit"].alias("hit"), before.alias("before")))).alias("out"))
+
+    def chunks(pairs: Column) -> Column:
+        # Each match has a character at least, so the last BEFORE matches hold all that can stand before the next one.
+        ahead = lambda i: F.slice(pairs, F.greatest(F.lit(1), i * CHUNK - BEFORE + 1), F.least(F.lit(BEFORE), i * CHUNK))
+        first = lambda i: tail(F.array_join(F.transform(ahead(i), lambda x: F.concat(x["tail"], tail(x["hit"]))), ""))
+        return in_chunks(pairs, lambda i, own: F.aggregate(own, F.struct(F.lit(0).alias("at"), first(i).alias("before"), none.alias("out")), step))
+
+    def joined(cs: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        offsets = F.aggregate(cs, start, lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        moved = lambda c, o: F.transform(c["out"], lambda s: F.struct((s["start"] + o).alias("start"), (s["end"] + o).alias("end"), s["hit"].alias("hit"), s["before"].alias("before")))
+        return F.flatten(F.zip_with(cs, offsets, moved))
+
+    return F.when(F.rlike(text, F.lit(guard or pattern)), let(let(pair, chunks), joined)).otherwise(none)
+
+
+def without_beaten(xs: Column, others: Column, beats: Callable[[Column, Column], Column]) -> Column:
+    """The spans that none of `others` beats; beats(other, span) holds only for spans that meet. A chunk is held against those that meet its range."""
+
+    def keep(_: Column, own: Column) -> Column:
+        limits = lambda b: F.struct(F.array_min(F.transform(b, lambda s: s["start"])).alias("lo"), F.array_max(F.transform(b, lambda s: s["end"])).alias("hi"))
+        close = lambda b: let(limits(b), lambda r: F.filter(others, lambda o: (o["start"] < r["hi"]) & (o["end"] > r["lo"])))
+        return let(own, lambda b: let(close(b), lambda near: F.filter(b, lambda s: ~F.exists(near, lambda o: beats(o, s)))))
 
-    got = F.aggregate(pair, start, step, lambda acc: acc["out"])
-    return F.when(F.rlike(text, F.lit(guard or pattern)), got).otherwise(none)
+    return let(xs, lambda every: F.flatten(in_chunks(every, keep)))
 
 
 def digits(x: Column) -> Column:
@@ -99,8 +135,7 @@ def wide_spans(text: Column) -> Column:
 
     def described(spans: Column) -> Column:
         def one(s: Column) -> Column:
-            before = F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
-            return F.struct(kind_of(s["hit"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), F.array(*features(s["hit"], before)).alias("x"))
+            return F.struct(kind_of(s["hit"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), F.array(*features(s["hit"], s["before"])).alias("x"))
 
         return F.transform(spans, one)
 
@@ -234,14 +269,12 @@ def spans(docs: DataFrame, model: Forest | None) -> DataFrame:
             out = F.when(kind == k, t).otherwise(out)
         return out
 
-    scored = F.filter(
-        F.transform("_wide", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), model.column(s["x"]).alias("p"))),
-        lambda s: (s["p"] >= limit(s["kind"])) & ~F.exists("_base", lambda b: meets(s, b)),
-    )
-    out = out.withColumn("_wide", scored)
+    scored = F.transform("_wide", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), model.column(s["x"]).alias("p")))
+    likely = F.filter(scored, lambda s: s["p"] >= limit(s["kind"]))
+    out = out.withColumn("_wide", without_beaten(likely, F.col("_base"), meets))
     better = lambda a, b: meets(a, b) & ((a["p"] > b["p"]) | (a["p"] == b["p"]) & ((a["start"] < b["start"]) | (a["start"] == b["start"]) & (a["end"] > b["end"])))
-    best = F.filter("_wide", lambda s: ~F.exists("_wide", lambda o: better(o, s)))
-    own = F.array_distinct(F.transform(best, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), F.lit(False).alias("base"))))
+    best = without_beaten(F.col("_wide"), F.col("_wide"), better)
+    own = F.transform(best, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), F.lit(False).alias("base")))
     every = F.concat("_base", own)
     ordered = F.concat(*[F.array_sort(F.filter(every, of_kind(k)), lambda a, b: a["start"] - b["start"]) for k in KINDS])
     return out.withColumn("pii", ordered).drop("_base", "_wide")
@@ -258,7 +291,8 @@ def redact(docs: DataFrame, model: Forest | None) -> DataFrame:
         return F.struct(F.when(covered, F.greatest(acc["at"], s["end"])).otherwise(s["end"]).alias("at"), F.when(covered, acc["out"]).otherwise(piece).alias("out"))
 
     done = F.aggregate(by_start, start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    return spans(docs, model).withColumn("text", F.when(F.col("text").isNotNull(), done)).select(*docs.columns)
+    found_in = spans(docs.select("text", F.struct("*").alias("_row")), model)  # other columns may have any name
+    return found_in.select(*[F.when(F.col("text").isNotNull(), done).alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame, model: Forest | None) -> DataFrame:

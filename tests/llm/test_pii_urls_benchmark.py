@@ -74,6 +74,25 @@ def test_wide_spans_and_redaction(spark, docs):
     assert clean.spans == ""
 
 
+def test_many_spans_in_one_text(spark, docs):
+    """More spans than a chunk has, of every kind and overlapping; time grows with the text's length, not with its square."""
+    model = pii.train(docs((1, None)).limit(0))
+    unit = "é call 123-456-7890, ssn 123-45-6789 token=abcdef123456xyz7 10.0.0.1 a@b.co +1 202 555 0100 "
+    texts = [unit * n for n in (1, 86, 700)]
+    out = {r.doc_id: r.spans.split(",") for r in pii.digest(docs(*enumerate(texts)), model).collect()}
+    at = lambda x, k: ":".join([x.split(":")[0], *(str(int(v) + k * len(unit)) for v in x.split(":")[1:])])
+    for i, n in ((1, 86), (2, 700)):
+        assert sorted(out[i]) == sorted(at(x, k) for x in out[0] for k in range(n))
+    assert {x.split(":")[0] for x in out[0]} >= {"email", "ip", "phone", "secret", "ssn"}
+    assert pii.digest(docs((1, "7" * 1_000_000 + "." + "8" * 1_000_000)), None).first().spans == ""
+
+
+def test_redaction_keeps_columns_of_any_name(spark, docs):
+    df = docs((1, "mail a@b.co now")).selectExpr("*", "1 as pii", "2 as _base", "3 as _wide", "4 as _row")
+    got = pii.redact(df, pii.train(df.limit(0)))
+    assert got.columns == df.columns and got.first()[-4:] == (1, 2, 3, 4) and got.first().text == "mail [email] now"
+
+
 def test_scores_in_sql_are_the_forests(spark):
     rnd = np.random.default_rng(2)
     x = rnd.integers(0, 5, (300, len(pii.FEATURES))).astype(float)
