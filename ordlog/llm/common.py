@@ -41,6 +41,14 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """The name, or it with underscores before it, that no column of df has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def to_python(spark: SparkSession) -> None:
     """Bounds the memory of Arrow batches, unless the session has a lower bound already."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordlog.llm.common import saved, to_python
+from ordlog.llm.common import free, saved, to_python
 
 WINDOW, STRIDE, COSINE, RANK = 32, 16, 0.45, 128
 #: Parts of an item's words that a document must have in order: for a copy, and for a paraphrase that also has so much of the answer.
@@ -246,5 +246,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    found = saved(contamination(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("uid").alias("_uid")).distinct())
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_uid")), "left_anti")
+    key, uid = free(docs, "_key"), free(docs, "_uid")
+    found = saved(contamination(docs, benchmark).select(F.col("doc_id").alias(key), F.col("uid").alias(uid)).distinct())
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col(key)) & (F.xxhash64(docs["text"]) == F.col(uid)), "left_anti")

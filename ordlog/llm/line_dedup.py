@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordlog.llm.common import saved, to_python
+from ordlog.llm.common import free, saved, to_python
 
 LEAST = 50
 #: Fixed odd number for hashes of runs; its inverse modulo 2^64 undoes a place.
@@ -112,15 +112,18 @@ def deduplicate(docs: DataFrame, least: int = LEAST, drop_empty: bool = False) -
     """Documents with the lines of later repeated runs deleted; n_chars, if there is one, follows the text. drop_empty drops documents of which
     this leaves nothing but white space.
 
-    Runs of under `least` words stay. Null and empty texts and rows without doc_id stay as they are. Rows of equal doc_id and text are one
+    Runs of under `least` words stay; a line's words are counted by its spaces and tabs, each of a row of them too. Null and empty texts and rows without doc_id stay as they are. Rows of equal doc_id and text are one
     document and stay or go together; rows of equal doc_id and other text are documents of their own. Other columns stay. An empty table gives
     no rows.
     """
-    spans = repeats(docs, least).groupBy("doc_id", F.col("uid").alias("_uid")).agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last")))).alias("_gone"))
-    out = docs.withColumn("_uid", F.xxhash64("text")).join(spans, ["doc_id", "_uid"], "left")
-    hit = F.col("_gone").isNotNull()
-    new = {"text": F.when(hit, without(F.col("text"), F.col("_gone"))).otherwise(F.col("text"))}
+    uid, gone, kept = free(docs, "_uid"), free(docs, "_gone"), free(docs, "_hit")
+    # A set, which is made before the shuffle too: however often a document is repeated, its group is no larger than its own windows.
+    runs = repeats(docs, least).groupBy("doc_id", F.col("uid").alias(uid)).agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    spans = runs.select("doc_id", uid, F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"])))).alias(gone))
+    out = docs.withColumn(uid, F.xxhash64("text")).join(spans, ["doc_id", uid], "left")
+    hit = F.col(gone).isNotNull()
+    new = {"text": F.when(hit, without(F.col("text"), F.col(gone))).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(hit, F.length(new["text"])).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    out = out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns], hit.alias("_hit"))
-    return (out.where(~F.col("_hit") | (F.trim("text") != "")) if drop_empty else out).drop("_hit")
+    out = out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns], hit.alias(kept))
+    return (out.where(~F.col(kept) | (F.trim("text") != "")) if drop_empty else out).drop(kept)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordlog.llm.common import saved, to_python
+from ordlog.llm.common import free, saved, to_python
 from ordlog.llm.components import components
 
 WORDS, RADIUS, BLOCK, SEED = 4, 4, 4096, 42
@@ -150,7 +150,8 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> Da
     """Documents without near-duplicates, with all their columns: of each class one row of the least doc_id stays. Rows without a doc_id stay, as
     no class can name them. An empty table gives no rows."""
     stays = classes(docs, radius, words).where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "uid")).alias("r")).select("r.*")
-    named = docs.where("doc_id is not null").withColumn("_uid", F.xxhash64("text"))
-    stays = stays.withColumnRenamed("uid", "_uid")
-    kept = named.join(stays, ["doc_id", "_uid"], "left_semi").dropDuplicates(["doc_id", "_uid"]).select(*docs.columns)
+    uid = free(docs, "_uid")
+    named = docs.where("doc_id is not null").withColumn(uid, F.xxhash64("text"))
+    stays = stays.withColumnRenamed("uid", uid)
+    kept = named.join(stays, ["doc_id", uid], "left_semi").dropDuplicates(["doc_id", uid]).select(*docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))

@@ -6,7 +6,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ordlog.llm import components, line_dedup, simhash
+from ordlog.llm import components, decontamination, language_id, line_dedup, simhash
 from ordlog.llm.common import table
 
 SF = "/root/testdata/sf0.01"
@@ -157,6 +157,25 @@ def test_random_lines(spark, docs):
         assert got == plain_dedup(rows, 20)
 
 
+def test_columns_of_any_name_stay(spark, docs):
+    passage = " ".join(f"p{i}" for i in range(55))
+    df = docs((1, passage), (2, "x\n" + passage), (3, "other words that stay here")).selectExpr("*", "1 as _uid", "2 as _gone", "3 as _hit", "4 as uid", "5 as _key", "6 as fp", "7 as root", "8 as first", "9 as _id")
+    extra = tuple(range(1, 10))
+    got = {r.doc_id: r for r in line_dedup.deduplicate(df, drop_empty=True).collect()}
+    assert {k: r.text for k, r in got.items()} == {1: passage, 2: "x", 3: "other words that stay here"}
+    benchmark = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    for out in (line_dedup.deduplicate(df), simhash.deduplicate(df), decontamination.decontaminate(df, benchmark), language_id.keep_known(df, 0.0)):
+        assert out.columns == df.columns and all(r[-9:] == extra for r in out.collect())
+
+
+def test_a_document_repeated_many_times(spark, docs):
+    """Repeats of a document join its group as one set of runs, of no more than its own windows."""
+    passage = "\n".join(" ".join(f"p{i}.{k}" for i in range(20)) for k in range(6))
+    rows = [(1, passage), *[(2, "lead\n" + passage)] * 3000]
+    got = line_dedup.deduplicate(docs(*rows)).groupBy("doc_id", "text").count().collect()
+    assert {(r.doc_id, r.text, r["count"]) for r in got} == {(1, passage, 1), (2, "lead", 3000)}
+
+
 def test_a_repeated_passage_goes_once_and_clean_lines_stay(spark, docs):
     passage = " ".join(f"p{i}" for i in range(55))
     two = "\n".join([" ".join(f"q{i}" for i in range(30)), " ".join(f"r{i}" for i in range(30))])
