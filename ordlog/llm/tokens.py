@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks kept in a worker's cache; it is emptied when full.
-CACHE = 600_000
+#: Chunks kept in a worker's cache, which is emptied when full, and the longest that are kept: together they bound its memory.
+CACHE, LONGEST = 600_000, 64
 #: From this character on, tables of letters differ between libraries and versions; chunks with them go to the tokenizer itself.
 PLAIN = "\u0500"
 
@@ -71,7 +71,9 @@ class Encoder:
             ids = self.piece(text[:-1].encode() + b"\n") + self.piece(text[-1].encode() + b"\n")
         else:
             ids = [i for w in self.words(text) for i in self.piece(w.encode() + b"\n")]
-        out = self.cache[chunk] = array("I", ids).tobytes()
+        out = array("I", ids).tobytes()
+        if len(chunk) <= LONGEST:
+            self.cache[chunk] = out
         return out
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

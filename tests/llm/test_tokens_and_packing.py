@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from ordlog.llm import packing, sharding, token_counts
 from ordlog.llm.common import table
-from ordlog.llm.tokens import default_path, encoder
+from ordlog.llm.tokens import Encoder, default_path, encoder
 
 SF = "/root/testdata/sf0.01"
 ODD = ["İstanbul ΑΣ x̧ é naïve's can't 12 a1b2 …—! 日本語 <|endoftext|> a\x1cb \x1f ​q ﬁ Ǆ", "", None, "🎉🎉 !!'s it's''s", "a b　c\u0085d", "  lead \n\n trail  ", "word " * 9000]
@@ -32,6 +32,15 @@ def test_any_text(texts):
     assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [e.whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_the_cache_is_bounded():
+    e = Encoder(default_path())
+    long = ["a" * 300_000, "ab1" * 50_000, "日本" * 20_000]
+    flat, at = e.batch(pa.array([" ".join(["x", t, "x"]) for t in long], pa.string()))
+    assert set(e.cache) == {"x"}
+    for t, lo, hi in zip(long, at, at[1:]):
+        assert flat[lo:hi].tolist() == e.whole.encode(f"x {t} x", add_special_tokens=False).ids
+
+
 def checked(rows, texts, capacity=4096):
     """Every piece is there once with its ids; sequences are gapless and not too long. The number of sequences."""
     e, own, seqs = encoder(default_path()), defaultdict(list), defaultdict(list)
