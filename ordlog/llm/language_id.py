@@ -20,8 +20,9 @@ from ordlog.llm.common import to_python
 
 #: Hashed n-grams.
 FEATURES = 1 << 14
-#: Documents of each language in the sample that the weights are fitted to, and languages at most (the most frequent): these bound the sample.
-SAMPLE, LANGUAGES = 600, 200
+#: Documents of each language in the sample that the weights are fitted to, languages at most (the most frequent) and documents of all languages
+#: together, of which each language has an equal part: these bound the sample.
+SAMPLE, LANGUAGES, SAMPLE_ALL = 600, 200, 20_000
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-3, 1e-4, 3
 UNKNOWN = "und"
 # Odd numbers that spread code points over 32 bits, one for each place in an n-gram.
@@ -88,6 +89,7 @@ def sample(labelled: DataFrame, per_language: int, languages: int) -> list[tuple
     sizes = labelled.where(F.length("text") > 0).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not sizes:
         return []
+    per_language = max(1, min(per_language, SAMPLE_ALL // len(sizes)))
     h = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
     share = F.pmod(h, F.lit(1 << 30)) / float(1 << 30)
     wanted = F.lit(False)
