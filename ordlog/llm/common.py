@@ -9,8 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch that goes to Python; texts may be long.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch that goes to Python; a longer text is a batch by itself.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,3 +54,6 @@ def to_python(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
