@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from ordlog.llm.common import free, saved, to_python
 
 LEAST = 50
+#: A key with more than 1/HOT of the rows to be joined is spread over SPREAD places. There are fewer than HOT such keys, whatever the data.
+HOT, SPREAD = 1000, 256
 #: Fixed odd number for hashes of runs; its inverse modulo 2^64 undoes a place.
 BASE = 0x9E3779B97F4A7C15
 WINDOWS = "doc bigint, uid bigint, mark bigint, place int, run bigint, first int, last int"
@@ -89,16 +91,31 @@ def windows(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("uid"), F.col("text").cast("binary").alias("text")).mapInArrow(make, WINDOWS)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined to right by key. right is a saved table that has a key once, with n, how many rows of left have it; n doesn't go on. Rows of hot
+    keys are dealt over SPREAD places, to each of which the key's row of right goes too, so that no key fills a task. A row's place follows from
+    the row and its partition of left, which has to be a saved table as well."""
+    total = right.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = [r[0] for r in right.where(F.col("n") * HOT > total).select(key).collect()]  # fewer than HOT rows
+    right = right.drop("n").hint("merge")  # the same plan at every size
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.col(key).isin(hot)
+    place = F.when(is_hot, F.pmod(F.xxhash64("doc", "uid", "first", F.spark_partition_id()), F.lit(SPREAD)).cast("int")).otherwise(F.lit(0))
+    places = F.when(is_hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    return left.withColumn("at", place).join(right.withColumn("at", F.explode(places)).hint("merge"), [key, "at"], how).drop("at")
+
+
 def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, uid, first, last): runs of lines, counted from 0, that have occurred before in order of doc_id and line; they may overlap."""
     made = saved(windows(docs, least))
     # Most fingerprints occur at one place and end here.
     where = F.struct("doc", "uid", "place")
-    again = made.groupBy("mark").agg(F.min(where).alias("x"), F.max(where).alias("y")).where("x != y").select("mark")
-    alive = made.join(again, "mark", "left_semi")
+    again = made.groupBy("mark").agg(F.min(where).alias("x"), F.max(where).alias("y"), F.count("*").alias("n")).where("x != y").select("mark", "n")
+    alive = saved(spread_join(made, saved(again), "mark", "left_semi"))
     at = F.struct("doc", "uid", "first")
-    earliest = alive.groupBy("run").agg(F.min(at).alias("x"), F.max(at).alias("y")).where("x != y").select("run", "x")
-    later = alive.join(earliest, "run").where(F.struct("doc", "uid", "first") != F.col("x"))
+    earliest = alive.groupBy("run").agg(F.min(at).alias("x"), F.max(at).alias("y"), F.count("*").alias("n")).where("x != y").select("run", "x", "n")
+    later = spread_join(alive, saved(earliest), "run").where(F.struct("doc", "uid", "first") != F.col("x"))
     return later.select(F.col("doc").alias("doc_id"), "uid", "first", "last")
 
 
@@ -119,8 +136,9 @@ def deduplicate(docs: DataFrame, least: int = LEAST, drop_empty: bool = False) -
     uid, gone, kept = free(docs, "_uid"), free(docs, "_gone"), free(docs, "_hit")
     # A set, which is made before the shuffle too: however often a document is repeated, its group is no larger than its own windows.
     runs = repeats(docs, least).groupBy("doc_id", F.col("uid").alias(uid)).agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    spans = runs.select("doc_id", uid, F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"])))).alias(gone))
-    out = docs.withColumn(uid, F.xxhash64("text")).join(spans, ["doc_id", uid], "left")
+    # Saved, so that AQE can split the join where a document is repeated often.
+    spans = saved(runs.select("doc_id", uid, F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"])))).alias(gone)))
+    out = docs.withColumn(uid, F.xxhash64("text")).join(spans.hint("merge"), ["doc_id", uid], "left")
     hit = F.col(gone).isNotNull()
     new = {"text": F.when(hit, without(F.col("text"), F.col(gone))).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:

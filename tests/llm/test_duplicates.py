@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ordlog.llm import components, decontamination, language_id, line_dedup, simhash
-from ordlog.llm.common import table
+from ordlog.llm.common import saved, table
 
 SF = "/root/testdata/sf0.01"
 
@@ -168,6 +168,20 @@ def test_columns_of_any_name_stay(spark, docs):
         assert out.columns == df.columns and all(r[-9:] == extra for r in out.collect())
 
 
+def test_hot_keys_are_spread(spark):
+    """A fingerprint that a third of all rows share loses no row in the join and fills no task."""
+    rows = [(7 if i % 3 == 0 else i, i, i % 5, 0) for i in range(9000)]
+    left = saved(spark.createDataFrame(rows, "mark long, doc long, uid long, first int"))
+    right = saved(left.groupBy("mark").count().withColumnRenamed("count", "n"))
+    got = line_dedup.spread_join(left, right, "mark")
+    assert sorted(map(tuple, got.select("mark", "doc", "uid", "first").collect())) == sorted(rows)
+    some = saved(right.where("mark = 7 or mark % 2 = 0"))
+    for how in ("inner", "left_semi"):
+        out = line_dedup.spread_join(left, some, "mark", how)
+        assert out.columns == left.columns and sorted(r.doc for r in out.collect()) == [d for m, d, _, _ in rows if m == 7 or m % 2 == 0]
+    assert line_dedup.spread_join(left, right.limit(0), "mark", "left_semi").collect() == []
+
+
 def test_a_document_repeated_many_times(spark, docs):
     """Repeats of a document join its group as one set of runs, of no more than its own windows."""
     passage = "\n".join(" ".join(f"p{i}.{k}" for i in range(20)) for k in range(6))
