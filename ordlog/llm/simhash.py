@@ -89,8 +89,9 @@ def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFra
     """(a, b): a spanning forest, bucket by bucket, of the distinct fingerprints fp within the radius."""
     ms = F.array(*[F.lit(m) for m in masks(radius)])
     keyed = nodes.select("fp", F.posexplode(F.transform(ms, lambda m: m.bitwiseAND(F.col("fp")))).alias("t", "key"))
-    size = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    met = keyed.join(size, ["t", "key"])
+    # Saved, so that AQE can split the rows of a big bucket, which it can't where the other side is an aggregate itself.
+    size = saved(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1))
+    met = keyed.join(size.hint("merge"), ["t", "key"])
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp", "t"), blocks).cast("int")
     other = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
@@ -132,8 +133,8 @@ def classes(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFr
     nodes = saved(made.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = components(links(nodes.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
     rooted = nodes.join(linked, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    least = saved(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # for a big class, as in links
+    named = rooted.join(least.hint("merge"), "root").select("fp", "root", "component_id")
     return made.join(named, "fp").select("doc_id", "uid", "fp", "root", "component_id")
 
 
