@@ -6,13 +6,15 @@ that product, vocabulary times rank, is gathered. Every window of every document
 or more. A window's part in the benchmark's vocabulary bounds that cosine from above and costs two running sums, so most windows end there,
 without loss. Candidates are settled by the longest common subsequence of words with the whole item, and paraphrases also by the item's answer.
 
-The benchmark goes through in blocks of at most about BLOCK words, which bounds what a task holds; more of them mean more passes.
+The benchmark goes through in blocks of about RANK passages. A block's rank is the number of its passages, so that its space holds each of them
+whole and a copy's cosine doesn't sink as the benchmark grows. GROUP blocks share a pass over the documents, which bounds what a task holds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,8 @@ WINDOW, STRIDE, COSINE, RANK = 32, 16, 0.45, 128
 COPY, PARAPHRASE, ANSWER = 0.8, 0.55, 0.8
 #: Items of fewer words are told by chance and not searched.
 LEAST = 8
-BLOCK = 200_000
+#: Blocks in a pass.
+GROUP = 16
 #: Hashed words with a document frequency of their own, and how many of them make a row.
 FEATURES, ROW = 1 << 18, 2048
 SEED = 5
@@ -154,18 +157,18 @@ def spaces(benchmark: DataFrame, df: np.ndarray, n_docs: int) -> Iterator[Space]
     text = F.col("text")
     answer = F.col("answer") if "answer" in benchmark.columns else F.regexp_extract(text, r"([^.!?\n]+)[.!?\s]*$", 1)
     rows = saved(benchmark.where("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), words(text).alias("w"), words(answer).alias("a")).where(F.size("w") >= LEAST))
-    total = rows.agg(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0]
     idf = np.maximum(0, np.log((n_docs + 1) / (df + 1)))
-    blocks = -(-total // BLOCK)
     cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - WINDOW + STRIDE - 1), F.lit(STRIDE)), lambda i: F.slice("w", i + 1, WINDOW))
+    total = rows.agg(F.coalesce(F.sum(F.size(cut)), F.lit(0))).first()[0]
+    blocks = -(-total // RANK)
     for k in range(blocks):
-        own = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        own = rows.where(F.pmod(F.xxhash64("item_id", "w"), F.lit(blocks)) == k)
         items = [Item(r["item_id"], r["w"], r["a"] if len(r["a"]) > 3 else r["w"][-8:]) for r in own.collect()]
         row = {w: i for i, w in enumerate(dict.fromkeys(w for it in items for w in it.words))}
         if not row:
             continue
-        basis = randomised_svd(own.select(F.explode(cut).alias("w")), row, idf)
         parts = [(i, it.words[s : s + WINDOW]) for i, it in enumerate(items) for s in starts(len(it.words))]
+        basis = randomised_svd(own.select(F.explode(cut).alias("w")), row, idf, rank=len(parts))
         v = np.array([passage(ws, row, idf) for _, ws in parts]) @ basis
         norm = np.linalg.norm(v, axis=1, keepdims=True)
         yield Space(items, row, idf, basis.astype(np.float32), (v / np.where(norm > 0, norm, 1)).astype(np.float32), np.array([i for i, _ in parts]))
@@ -200,18 +203,21 @@ def candidates(v: np.ndarray, at: np.ndarray, space: Space, keys: np.ndarray, va
             yield int(doc[own[i]]), int(first[own[i]] - at[doc[own[i]]]), int(space.owner[p])
 
 
-def matches(hashed: DataFrame, space: Space) -> DataFrame:
+def matches(hashed: DataFrame, group: Sequence[Space]) -> DataFrame:
     """(doc_id, uid, item_id, lcs, item_words, answer_lcs, answer_words) of documents that hold a copy or a paraphrase of an item."""
     schema = "doc_id bigint, uid bigint, item_id bigint, lcs int, item_words int, answer_lcs int, answer_words int"
-    keys = np.array(sorted(space.row), np.int32)
-    values = np.array([space.row[int(k)] for k in keys])
+    keys = [np.array(sorted(s.row), np.int32) for s in group]
+    values = [np.array([s.row[int(k)] for k in ks]) for s, ks in zip(group, keys)]
+    items = [it for s in group for it in s.items]
+    before = np.cumsum([0, *(len(s.items) for s in group)]).tolist()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v, at = _values(b.column(2))
             out: dict[tuple[int, int], tuple] = {}
-            for d, first, i in candidates(v, at, space, keys, values) if len(v) else ():
-                it = space.items[i]
+            hits = ((d, first, b0 + i) for s, b0, ks, vs in zip(group, before, keys, values) for d, first, i in candidates(v, at, s, ks, vs)) if len(v) else ()
+            for d, first, i in hits:
+                it = items[i]
                 size, answer = len(it.words), len(it.answer)
                 near = v[at[d] + max(0, first - size) : min(at[d + 1], at[d] + first + WINDOW + size)].tolist()
                 lcs = common_subsequence(it.where, size, near)
@@ -219,7 +225,7 @@ def matches(hashed: DataFrame, space: Space) -> DataFrame:
                 if lcs >= COPY * size or lcs >= PARAPHRASE * size and told >= ANSWER * answer:
                     out[d, i] = max(out.get((d, i), ()), (lcs, size, told, answer))
             ids, uids = b.column(0), b.column(1)
-            cols = [[ids[d].as_py() for d, _ in out], [uids[d].as_py() for d, _ in out], [space.items[i].item_id for _, i in out], *([x[k] for x in out.values()] for k in range(4))]
+            cols = [[ids[d].as_py() for d, _ in out], [uids[d].as_py() for d, _ in out], [items[i].item_id for _, i in out], *([x[k] for x in out.values()] for k in range(4))]
             kinds = [pa.int64()] * 3 + [pa.int32()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in schema.split(", ")])
 
@@ -239,8 +245,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_docs = hashed.count()
     df = document_frequencies(hashed)
     out = spark.createDataFrame([], "doc_id bigint, uid bigint, item_id bigint, lcs int, item_words int, answer_lcs int, answer_words int")
-    for space in spaces(benchmark, df, n_docs):
-        out = out.unionByName(matches(hashed, space))
+    for group in batched(spaces(benchmark, df, n_docs), GROUP):
+        out = out.unionByName(matches(hashed, group))
     return out.dropDuplicates(["doc_id", "uid", "item_id"])
 
 

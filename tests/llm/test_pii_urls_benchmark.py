@@ -217,3 +217,14 @@ def test_svd_spans_the_passages(spark):
     assert np.allclose(v.T @ v, np.eye(10), atol=1e-8)
     best = np.linalg.svd(a)[1]
     assert np.linalg.norm(a - a @ v @ v.T) == pytest.approx(np.sqrt((best[10:] ** 2).sum()), rel=0.02)
+
+
+def test_copies_beside_more_passages_than_the_rank(spark):
+    """Verbatim copies of 200 items, which make more passages than RANK, by brute force over all documents of sf0.1."""
+    b, df = table(spark, "/root/testdata/sf0.1", "benchmark"), table(spark, "/root/testdata/sf0.1", "documents")
+    plain = lambda x: f" {' '.join(re.findall(r'[^\W_]+', x.lower()))} "
+    items, rows = [(r.item_id, plain(r.text)) for r in b.collect()], [(r.doc_id, plain(r.text or "")) for r in df.collect()]
+    assert sum(len(decontamination.starts(len(t.split()))) for _, t in items) > decontamination.RANK
+    want = {(d, i) for d, text in rows for i, t in items if t in text}
+    got = {(r.doc_id, r.item_id) for r in decontamination.contamination(df, b).collect()}
+    assert len(want) > 200 and want <= got
