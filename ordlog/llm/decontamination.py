@@ -4,7 +4,9 @@ Texts become word hashes once, in a table that the later passes share. Document
 passages, weighted by them, are reduced by a distributed randomised SVD: each task multiplies its passages with the current subspace and only
 that product, vocabulary times rank, is gathered. Every window of every document is then a candidate if its latent cosine with a passage is COSINE
 or more. A window's part in the benchmark's vocabulary bounds that cosine from above and costs two running sums, so most windows end there,
-without loss. Candidates are settled by the longest common subsequence of words with the whole item, and paraphrases also by the item's answer.
+without loss. A copy that shares its window with other text, or whose words many documents have, may still have a low cosine. So documents are
+also searched by words alone: one that has COPY of an item's words, or PARAPHRASE of them and ANSWER of the answer's, whatever they weigh, is a
+candidate in each stretch that has PARAPHRASE of them. Candidates are settled by the longest common subsequence of words with the whole item, and paraphrases also by the item's answer.
 
 The benchmark goes through in blocks of about RANK passages. A block's rank is the number of its passages, so that its space holds each of them
 whole and a copy's cosine doesn't sink as the benchmark grows. GROUP blocks share a pass over the documents, which bounds what a task holds.
@@ -174,12 +176,9 @@ def spaces(benchmark: DataFrame, df: np.ndarray, n_docs: int) -> Iterator[Space]
         yield Space(items, row, idf, basis.astype(np.float32), (v / np.where(norm > 0, norm, 1)).astype(np.float32), np.array([i for i, _ in parts]))
 
 
-def candidates(v: np.ndarray, at: np.ndarray, space: Space, keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(document, first word in it, item) of each window whose latent cosine with a passage is COSINE or more. keys, values: space.row, sorted."""
+def candidates(v: np.ndarray, at: np.ndarray, space: Space, row: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(document, first word in it, item) of each window whose latent cosine with a passage is COSINE or more. row: of each word in the basis, or -1."""
     weight = space.idf[v & FEATURES - 1]
-    where = np.searchsorted(keys, v)
-    where[where == len(keys)] = 0
-    row = np.where(keys[where] == v, values[where], -1)
     energy = weight * weight
     every, ours = np.append(0, np.cumsum(energy)), np.append(0, np.cumsum(np.where(row >= 0, energy, 0)))
     n = np.diff(at)
@@ -203,26 +202,82 @@ def candidates(v: np.ndarray, at: np.ndarray, space: Space, keys: np.ndarray, va
             yield int(doc[own[i]]), int(first[own[i]] - at[doc[own[i]]]), int(space.owner[p])
 
 
+@dataclass
+class Index:
+    """Which items, and after them which items' answers, have a word, and how often."""
+
+    keys: np.ndarray  # words, sorted
+    begin: np.ndarray  # of each word's postings; the last ends
+    item: np.ndarray
+    times: np.ndarray
+    has: np.ndarray  # by item or answer and word
+    sizes: np.ndarray  # words of each
+
+
+def indexed(items: Sequence[Item]) -> Index:
+    every = [it.where for it in items] + [it.answer_where for it in items]
+    rows = sorted((w, i, bits.bit_count()) for i, where in enumerate(every) for w, bits in where.items())
+    w, item, times = (np.array(c, np.int64) for c in zip(*rows))
+    keys, begin = np.unique(w, return_index=True)
+    has = np.zeros((len(every), len(keys)), bool)
+    has[item, np.searchsorted(keys, w)] = True
+    return Index(keys.astype(np.int32), np.append(begin, len(w)), item, times, has, np.array([len(it.words) for it in items] + [len(it.answer) for it in items]))
+
+
+def holders(k: np.ndarray, at: np.ndarray, items: Sequence[Item], index: Index) -> Iterator[tuple[int, int, int, int]]:
+    """(document, first word, last word, item) of each stretch that may hold a copy or a paraphrase. Stretches overlap so that any one
+    of up to one and a half times the item's words lies in one whole. k: of each word among the index's keys, or -1."""
+    place = np.flatnonzero(k >= 0)
+    key, doc = k[place], np.repeat(np.arange(len(at) - 1), np.diff(at))[place]
+    has = np.zeros((len(at) - 1, len(index.keys)), bool)
+    has[doc, key] = True
+    d, w = np.nonzero(has)
+    n = index.begin[w + 1] - index.begin[w]
+    p = np.repeat(index.begin[w] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+    share = np.bincount(np.repeat(d, n) * len(index.sizes) + index.item[p], index.times[p], len(has) * len(index.sizes)).reshape(len(has), -1) / index.sizes
+    share, told = share[:, : len(items)], share[:, len(items) :]
+    ends = np.searchsorted(doc, np.arange(len(at)))
+    for d, i in np.argwhere((share >= COPY) | (share >= PARAPHRASE) & (told >= ANSWER)).tolist():
+        size = len(items[i].words)
+        own = place[ends[d] : ends[d + 1]][index.has[i, key[ends[d] : ends[d + 1]]]]
+        first = np.arange(at[d], at[d + 1], max(1, size // 2))
+        last = np.minimum(first + 2 * size, at[d + 1])
+        lo, hi = np.searchsorted(own, first), np.searchsorted(own, last)
+        for j in np.flatnonzero(hi - lo >= PARAPHRASE * size).tolist():
+            yield d, int(first[j]), int(last[j]), i
+
+
 def matches(hashed: DataFrame, group: Sequence[Space]) -> DataFrame:
     """(doc_id, uid, item_id, lcs, item_words, answer_lcs, answer_words) of documents that hold a copy or a paraphrase of an item."""
     schema = "doc_id bigint, uid bigint, item_id bigint, lcs int, item_words int, answer_lcs int, answer_words int"
-    keys = [np.array(sorted(s.row), np.int32) for s in group]
-    values = [np.array([s.row[int(k)] for k in ks]) for s, ks in zip(group, keys)]
     items = [it for s in group for it in s.items]
+    index = indexed(items)
+    rows = [np.array([*(s.row.get(k, -1) for k in index.keys.tolist()), -1]) for s in group]
     before = np.cumsum([0, *(len(s.items) for s in group)]).tolist()
 
+    def stretches(v: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        k = np.minimum(np.searchsorted(index.keys, v), len(index.keys) - 1)
+        k[index.keys[k] != v] = -1
+        yield from holders(k, at, items, index)
+        for s, b, row in zip(group, before, rows):
+            for d, first, i in candidates(v, at, s, row[k]):
+                size = len(s.items[i].words)
+                yield d, at[d] + max(0, first - size), min(at[d + 1], at[d] + first + WINDOW + size), b + i
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v, at = _values(b.column(2))
             out: dict[tuple[int, int], tuple] = {}
-            hits = ((d, first, b0 + i) for s, b0, ks, vs in zip(group, before, keys, values) for d, first, i in candidates(v, at, s, ks, vs)) if len(v) else ()
-            for d, first, i in hits:
+            hits = stretches(v, at) if len(v) else ()
+            for d, lo, hi, i in hits:
                 it = items[i]
                 size, answer = len(it.words), len(it.answer)
-                near = v[at[d] + max(0, first - size) : min(at[d + 1], at[d] + first + WINDOW + size)].tolist()
+                near = v[lo:hi].tolist()
                 lcs = common_subsequence(it.where, size, near)
+                if lcs < PARAPHRASE * size:
+                    continue
                 told = common_subsequence(it.answer_where, answer, near)
-                if lcs >= COPY * size or lcs >= PARAPHRASE * size and told >= ANSWER * answer:
+                if lcs >= COPY * size or told >= ANSWER * answer:
                     out[d, i] = max(out.get((d, i), ()), (lcs, size, told, answer))
             ids, uids = b.column(0), b.column(1)
             cols = [[ids[d].as_py() for d, _ in out], [uids[d].as_py() for d, _ in out], [items[i].item_id for _, i in out], *([x[k] for x in out.values()] for k in range(4))]

@@ -228,3 +228,17 @@ def test_copies_beside_more_passages_than_the_rank(spark):
     want = {(d, i) for d, text in rows for i, t in items if t in text}
     got = {(r.doc_id, r.item_id) for r in decontamination.contamination(df, b).collect()}
     assert len(want) > 200 and want <= got
+
+
+def test_short_item_in_a_third_of_all_documents(spark):
+    """A copy is found however common its words are and whatever stands beside it."""
+    rows = [(r.doc_id, (r.text or "").split()) for r in table(spark, SF, "documents").collect()]
+    rnd = np.random.default_rng(6)
+    for n in (8, 16, 39):
+        item = [f"word{k}" for k in range(n)]
+        planted = {d for k, (d, _) in enumerate(rows) if k % 3 == 0}
+        at = {d: int(rnd.integers(0, len(ws) + 1)) for d, ws in rows}
+        texts = [(d, " ".join([*ws[: at[d]], *item, *ws[at[d] :]] if d in planted else ws)) for d, ws in rows]
+        b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+        got = decontamination.contamination(spark.createDataFrame(texts, "doc_id long, text string"), b).collect()
+        assert {r.doc_id for r in got} == planted and all(r.lcs == n for r in got)
