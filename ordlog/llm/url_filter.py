@@ -44,28 +44,49 @@ def ruled(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) ->
 
 
 def node_of(url: Column) -> Column:
-    """A URL without its fragment, which names a place in the same page."""
-    return F.regexp_replace(url, "(?s)#.*$", "")
+    """A URL without its fragment, which names a place in the same page; scheme and host count in any case."""
+    bare = F.regexp_replace(url, "(?s)#.*$", "")
+    head = F.regexp_extract(bare, r"(?s)^[^/?]*://[^/?]*", 0)
+    return F.concat(F.translate(head, UPPER, LOWER), F.substr(bare, F.length(head) + 1))
+
+
+def without_dots(path: Column) -> Column:
+    """A path that begins with / without its . and .. parts."""
+    parts = F.slice(F.split(path, "/", -1), 2, F.greatest(F.lit(1), F.size(F.split(path, "/", -1)) - 1))
+    up = lambda acc: F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", up(acc)).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    end = F.when(F.rlike(path, F.lit(r"/\.\.?$")) & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(F.rlike(path, F.lit(r"/\.\.?(/|$)")), F.concat(F.lit("/"), F.array_join(kept, "/"), end)).otherwise(path)
 
 
 def absolute(base: Column, link: Column) -> Column:
-    """A link's URL: absolute links as they are, //host links by the base's scheme, /path links by its host; null for others."""
+    """A link's URL: absolute links as they are, //host links by the base's scheme, /path links by its host, ?query links by its path and others by
+    its path's directory; null for other schemes and for bases without ://."""
     link = F.regexp_replace(F.trim(link), "&amp;", "&")
+    link = F.regexp_replace(link, "(?s)#.*$", "")
+    root = F.regexp_extract(base, r"(?s)^([^/?#]*://[^/?#]*)", 1)
+    path = F.when(path_of(base) == "", "/").otherwise(path_of(base))
+    own, query = F.regexp_extract(link, r"(?s)^[^?]*", 0), F.regexp_extract(link, r"(?s)\?.*$", 0)
+    beside = F.concat(F.regexp_extract(path, "(?s)^(.*/)", 1), own)
     return (
-        F.when(F.contains(link, F.lit("://")), link).when(F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(base, "(?s)^(.*?:)//", 1), link))
-        .when(F.startswith(link, F.lit("/")), F.concat(F.regexp_extract(base, "(?s)^(.*?://[^/?#]*)", 1), link))
+        F.when(F.rlike(link, F.lit("^[A-Za-z][A-Za-z0-9+.-]*://")), link).when(F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(base, "(?s)^(.*?:)//", 1), link))
+        .when((root == "") | F.rlike(link, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), None)
+        .when(F.startswith(link, F.lit("/")), F.concat(root, without_dots(own), query))
+        .when(link == "", base).when(own == "", F.concat(root, path_of(base), query)).otherwise(F.concat(root, without_dots(beside), query))
     )
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """(a, b): the edges that pages' HTML declares by canonical links and refreshing redirects. Null URLs and HTML declare none."""
-    tag = F.regexp_extract("html", r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    href = F.regexp_extract(tag, r"(?i)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", 0)
-    canonical = F.regexp_replace(href, r"(?i)^href\s*=\s*[\"']?|[\"']$", "")
-    meta = F.regexp_extract("html", r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    refresh = F.regexp_extract(meta, r"(?i)\burl\s*=\s*([^\"'\s>]+)", 1)
+    """(a, b): the edges that pages' HTML declares by canonical links and refreshing redirects, by all tags of either kind. Null URLs and HTML declare
+    none."""
+    tags = lambda p: F.regexp_extract_all("html", F.lit(p), F.lit(0))
+    canonical = F.transform(
+        tags(r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"),
+        lambda t: F.regexp_replace(F.regexp_extract(t, r"(?i)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", 0), r"(?i)^href\s*=\s*[\"']?|[\"']$", ""),
+    )
+    refresh = F.transform(tags(r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), lambda t: F.regexp_extract(t, r"(?i)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
     told = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull() & F.rlike("html", F.lit("(?i)canonical|http-equiv")))
-    got = told.select("url", F.explode(F.filter(F.array(canonical, refresh), lambda x: x != "")).alias("to"))
+    got = told.select("url", F.explode(F.filter(F.concat(canonical, refresh), lambda x: x != "")).alias("to"))
     return got.select(node_of(F.col("url")).alias("a"), node_of(absolute(F.col("url"), F.col("to"))).alias("b")).where("b is not null and a != b")
 
 

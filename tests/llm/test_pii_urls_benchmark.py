@@ -242,3 +242,19 @@ def test_short_item_in_a_third_of_all_documents(spark):
         b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
         got = decontamination.contamination(spark.createDataFrame(texts, "doc_id long, text string"), b).collect()
         assert {r.doc_id for r in got} == planted and all(r.lcs == n for r in got)
+
+
+def test_every_form_of_alias(spark):
+    """Each page declares an alias that a rule blocks, or is declared by one. The SQL knows none of these forms."""
+    meta = lambda c: f'<meta http-equiv="refresh" content="{c}">'
+    rows = [
+        (1, "http://b.com/1", meta("0; url='https://a.net/x'")), (2, "http://c.com/2", "<meta http-equiv=refresh content='0;URL=\"http://a.net/y\"'>"),
+        (3, "http://d.com/p/q/3?z", link("next.html")), (4, "http://d.com/p/q/next.html", link("?p=1")), (5, "http://d.com/p/q/next.html?p=1", link("../x")),
+        (6, "http://d.com/p/x", link("./y/../../top/")), (7, "HTTP://D.com/top/", link("http://a.net/z")), (8, "http://e.com", link("sub")), (9, "http://E.com/sub", link("http://A.net/Z")),
+        (10, "http://f.com/", link("http://ok.com/") + link("http://a.net/x")), (11, "http://g.com/", meta("5; url=http://ok2.com/") + meta("0; url=http://a.net/x")),
+        (12, "http://h.com/A", link("http://ok3.com/")), (13, "http://h.com/a", link("http://a.net/x")), (14, "http://i.com/", link("mailto:x@a.net")), (15, "http://j.com/", link("#a")),
+        (16, "no scheme", link("x")), (17, "http://k.com/r?u=http://Q.net", link("/s?u=http://a.net/")), (18, "http://k.com/s?u=http://a.net/", link("http://a.net/q")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages).collect()}
+    assert [i for i in got if got[i] == "allow"] == [12, 14, 15, 16]
