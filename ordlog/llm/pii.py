@@ -28,7 +28,7 @@ BASE = {
 }
 _OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: The generators of further spans; a span's kind follows from its form.
-CREDENTIAL = r"(?i)(?:\b(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.=-]{6,200}[\"']?|\b(?:AKIA|ASIA|ghp_|sk-)[A-Za-z0-9]{12,200})"
+CREDENTIAL = r"(?i)(?:\b(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.=-]{6,}+[\"']?|\b(?:AKIA|ASIA|ghp_|sk-)[A-Za-z0-9]{12,}+)"
 NUMBER = r"(?:\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b|\(?\b[0-9]{2,6}\)?(?:[\x20./-]{1,2}[0-9]{2,8}){1,5}\b)"
 KINDS = ("email", "ip", "card", "phone", "secret", "iban", "ssn", "number")
 _WORDS = {

@@ -244,6 +244,15 @@ def test_short_item_in_a_third_of_all_documents(spark):
         assert {r.doc_id for r in got} == planted and all(r.lcs == n for r in got)
 
 
+def test_long_secrets_leave_no_tail(spark, docs):
+    model = pii.train(docs((1, None)).limit(0))
+    long = "".join(np.random.default_rng(7).choice(list("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789"), 5000))
+    texts = [f'a token="{long[:n]}" b' for n in (199, 201, 300, 5000)] + [f"a sk-{long[:n]} b" for n in (201, 5000)]
+    got = {r.doc_id: r.text for r in pii.redact(docs(*enumerate(texts)), model).collect()}
+    assert set(got.values()) == {"a [secret] b"}
+    assert pii.digest(docs((1, "token=" + "a" * 1_000_000)), model).count() == 1
+
+
 def test_every_form_of_alias(spark):
     """Each page declares an alias that a rule blocks, or is declared by one. The SQL knows none of these forms."""
     meta = lambda c: f'<meta http-equiv="refresh" content="{c}">'
