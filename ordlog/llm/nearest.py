@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by inner product, with collision-counting hashing.
 
 Inner products become distances: each vector gets one coordinate more, so that all have the greatest norm, and a query's is zero; the nearest point is
-then the largest product. Every hash is one random projection, kept as a sorted array. A query opens a window around its own projection in each array;
-the window widens step by step (virtual rehashing: no array is built anew) until enough vectors fall into it in THRESHOLD or more of the arrays
-and are near enough that a wider window is unlikely to hold better ones. Vectors over the threshold are verified with their exact product.
+then the largest product. Every hash is one random projection, kept as a sorted array. A query opens a window around its own projection in each array,
+and a vector collides in an array if its place there lies in the window. Those that collide in THRESHOLD or more of the arrays are verified with
+their exact product. While the k-th of them is too far for the window, it widens (virtual rehashing: no array is built anew). The first
+width comes from the query's k-th distance to a few vectors of the shard, so most queries need one step; it depends on nothing but the
+query and the shard, and a task that is run again gives the same rows.
 
 Vectors are dealt into shards of a bounded size, queries into blocks, and a task handles one block against one shard; each returns its best k, and
 these are merged. A shard's windows open until they hold k vectors of that shard, so a third of equal vectors in one place changes nothing.
@@ -19,16 +21,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ordlog.llm.common import saved
+from ordlog.llm.common import free, saved
 
 PROJECTIONS, THRESHOLD = 64, 0.42
 #: Vectors in a shard and queries in a block, about; a task holds one of each.
-SHARD, QUERIES = 8192, 1024
+SHARD, QUERIES = 8192, 2048
 SEED = 11
 #: A search ends when its k-th distance is at most so many times the window's half width. A vector at that distance falls into a window with odds of
-#: 0.48, and so into THRESHOLD of the PROJECTIONS in 83 of 100 cases; nearer ones more often. Each step widens windows by STEP.
+#: 0.48, and so into THRESHOLD of the PROJECTIONS in 83 of 100 cases; nearer ones more often. Each step widens windows by STEP at least.
 NEAR, STEP = 1.55, 1.1
-
+#: Vectors of a shard that set a query's first width.
+FIRST = 1024
 
 
 def usable(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -39,78 +42,104 @@ def usable(df: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 class Shard:
-    """Sorted projections of some vectors."""
+    """Sorted projections of some vectors, and each vector's place in each of them."""
 
     def __init__(self, x: np.ndarray, top: float) -> None:
         """top: the greatest norm of all shards."""
-        self.x = x
-        norm = (x * x).sum(1)
-        self.lift = np.sqrt(np.maximum(top * top - norm, 0))
-        a = np.random.default_rng(SEED).standard_normal((x.shape[1] + 1, PROJECTIONS))
-        self.a = a
-        p = x @ a[:-1] + self.lift[:, None] * a[-1]
-        self.order = np.argsort(p, 0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(p.T, self.order, 1)
-        self.top = top
-        self.width = 0.25 * top  # where the next search begins: a little below where the last one ended
-
-    def search(self, q: np.ndarray, k: int) -> np.ndarray:
-        """Places of the vectors to verify for one query: at least k, if there are."""
-        n, m = len(self.x), PROJECTIONS
-        need = math.ceil(THRESHOLD * m)
-        centre = q @ self.a[:-1]
-        width = self.width
-        while True:
-            lo = [int(np.searchsorted(s, c - width)) for s, c in zip(self.sorted, centre)]
-            hi = [int(np.searchsorted(s, c + width, "right")) for s, c in zip(self.sorted, centre)]
-            if sum(hi) - sum(lo) >= m * n:
-                self.width = width / STEP
-                return np.arange(n)
-            if sum(hi) - sum(lo) >= need * min(k, n):
-                hit = np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, lo, hi)]), minlength=n)
-                found = np.flatnonzero(hit >= need)
-                if len(found) >= k:
-                    # Nearer vectors than the k-th found are over the threshold with high odds.
-                    far = np.sqrt(np.maximum(q @ q + self.top**2 - 2 * self.x[found] @ q, 0))
-                    if np.partition(far, k - 1)[k - 1] <= width * NEAR:
-                        self.width = width / STEP
-                        return found
-            width *= STEP
+        self.x, self.short, self.top = x, x.astype(np.float32), top
+        self.a = np.random.default_rng(SEED).standard_normal((x.shape[1] + 1, PROJECTIONS))
+        p = (x @ self.a[:-1] + np.sqrt(np.maximum(top * top - (x * x).sum(1), 0))[:, None] * self.a[-1]).T
+        order = np.argsort(p, 1, kind="stable")
+        self.sorted = np.take_along_axis(p, order, 1)
+        self.kind = np.uint16 if len(x) < 1 << 16 else np.uint32
+        self.place = np.empty(p.shape, self.kind)
+        np.put_along_axis(self.place, order, np.arange(len(x), dtype=self.kind)[None, :], 1)
+
+    def first_widths(self, q: np.ndarray, k: int) -> np.ndarray:
+        """Half widths that would do if the shard were its vectors looked at."""
+        some = self.x[:: max(1, len(self.x) // FIRST)]
+        score = np.sort(q @ some.T, 1)[:, ::-1][:, min(k, len(some)) - 1]
+        return np.maximum(self.distance(q, score), 1e-3 * self.top) / NEAR
+
+    def distance(self, q: np.ndarray, score: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum((q * q).sum(-1) + self.top**2 - 2 * score, 0))
+
+    def search(self, q: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(places, products) of each query's best k, the nearest first but for ties. own: a query's own place, or -1."""
+        n, need = len(self.x), math.ceil(THRESHOLD * PROJECTIONS)
+        centre, width = q @ self.a[:-1], self.first_widths(q, k + 1)
+        shifted, inside = np.empty_like(self.place), np.empty(self.place.shape, bool)
+        out: list = [None] * len(q)
+        left = np.arange(len(q))
+        while len(left):
+            ends = [(np.searchsorted(s, c - width[left]), np.searchsorted(s, c + width[left], "right")) for s, c in zip(self.sorted, centre[left].T)]
+            lo, hi = (np.stack([e[i] for e in ends], 1) for i in (0, 1))
+            again = []
+            for i, a, b in zip(left.tolist(), lo, hi):
+                whole = int((b - a).sum()) >= PROJECTIONS * n
+                np.subtract(self.place, a.astype(self.kind)[:, None], out=shifted)  # wraps below the window, so that one comparison tells both ends
+                np.less(shifted, (b - a).astype(self.kind)[:, None], out=inside)
+                found = np.arange(n) if whole else np.flatnonzero(np.add.reduce(inside.view(np.uint8), 0, dtype=np.uint8) >= need)
+                found = found[found != own[i]]
+                if len(found) < k and not whole:
+                    width[i] *= STEP
+                    again.append(i)
+                    continue
+                if len(found) > k:
+                    rough = self.short[found] @ q[i].astype(np.float32)
+                    least = np.partition(rough, len(found) - k)[len(found) - k] - 1e-5 * self.top * np.linalg.norm(q[i])
+                    found = found[rough >= least]  # none of the best k is lost by rounding
+                score = np.einsum("ij,j->i", self.x[found], q[i])
+                far = float(self.distance(q[i], np.partition(score, len(score) - k)[len(score) - k])) if len(score) >= k else math.inf
+                if not whole and far > width[i] * NEAR:
+                    # Vectors as near as the k-th found may yet lie outside of the windows.
+                    width[i] = max(width[i] * STEP, far / NEAR)
+                    again.append(i)
+                else:
+                    out[i] = found, score
+            left = np.array(again, np.int64)
+        return out
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "embedding", shard: int = SHARD, block: int = QUERIES) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query row its k vectors of largest inner product, its own vec_id excepted; ties go to the
-    smaller vec_id, fewer candidates give fewer rows.
+    """(query_id, rank, vec_id, score): for each query row its k other rows of largest inner product; ties go to the smaller vec_id, fewer candidates
+    give fewer rows.
 
-    Null and zero vectors and those with null or non-finite components take no part, nor do rows without vec_id or vectors whose length isn't
-    the commonest one (the shortest of these). A vec_id that occurs again counts once, by its greatest vector. Empty tables give no rows.
+    Null and zero vectors and those with null or non-finite components take no part, nor do rows without vec_id. Vectors are searched among
+    those of their own length, as others have no product with them. Rows that share a vec_id are rows of their own, as queries (each with its own
+    ranks) and as candidates. Other columns, of whatever name, are ignored. Empty tables give no rows.
     """
-    x = usable(vectors, vector).withColumn("_q", F.coalesce(is_query, F.lit(False)))
-    x = x.select("vec_id", F.transform(vector, lambda c: c.cast("double")).alias("v"), "_q").groupBy("vec_id").agg(F.max("v").alias("v"), F.max("_q").alias("q"))
-    dims = x.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)).alias("top"), F.sum(F.col("q").cast("int")).alias("qs")).orderBy(F.desc("n"), "d").first()
-    schema = "query_id bigint, vec_id bigint, score double"
-    if dims is None:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    dim, top = dims["d"], math.sqrt(dims["top"]) * (1 + 1e-12)
-    shards, blocks = max(1, math.ceil(dims["n"] / shard)), max(1, math.ceil((dims["qs"] or 0) / block))
-    x = saved(x.where(F.size("v") == dim).select(F.col("vec_id").cast("bigint").alias("vec_id"), "v", "q"))
-    deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    left = x.select("vec_id", "v", deal(shards, 1).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    right = x.where("q").select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), deal(blocks, 2).alias("b"))
+    is_q = free(vectors, "_q")
+    x = usable(vectors, vector).withColumn(is_q, F.coalesce(is_query, F.lit(False)))
+    x = x.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("bigint").alias("vec_id"), F.transform(vector, lambda c: c.cast("double")).alias("v"), F.col(is_q).alias("q"))
+    x = saved(x.withColumn("d", F.size("v")))  # the numbers of rows hold from here on
+    # One row for each length of vector.
+    norm = F.aggregate("v", F.lit(0.0).cast("double"), lambda s, c: s + c * c)
+    sizes = x.groupBy("d").agg(F.count("*").alias("n"), F.sqrt(F.max(norm)).alias("top"), F.sum(F.col("q").cast("int")).alias("qs")).where("qs > 0")
+    parts = lambda n, size: F.ceil(n / size).cast("int")
+    sizes = saved(sizes.select("d", (F.col("top") * (1 + 1e-12)).alias("top"), parts(F.col("n"), shard).alias("shards"), parts(F.col("qs"), block).alias("blocks")))
+    deal = lambda n, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = x.join(sizes, "d")
+    left = x.select("d", "top", "row", "vec_id", "v", deal("shards", 1).alias("s"), every("blocks").alias("b"))
+    same = [F.col(c).alias(c) for c in ("d", "row", "vec_id", "v")]  # columns of their own, as both sides are read from one table
+    right = x.where("q").select(*same, every("shards").alias("s"), deal("blocks", 2).alias("b"))
 
     def search(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids, v = a.vec_id.to_numpy(), np.stack(a.v.to_numpy())
-        sh, out = Shard(v, top), []
-        for q_id, q in zip(b.vec_id.to_numpy(), np.stack(b.v.to_numpy())):
-            found = sh.search(q, min(k + 1, len(v)))
-            found = found[ids[found] != q_id]
-            score = np.einsum("ij,j->i", v[found], q)
+            return pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []})
+        a = a.sort_values("row")
+        rows, ids = a.row.to_numpy(), a.vec_id.to_numpy()
+        own = np.minimum(np.searchsorted(rows, b.row.to_numpy()), len(rows) - 1)
+        own = np.where(rows[own] == b.row.to_numpy(), own, -1)
+        got = Shard(np.stack(a.v.to_numpy()), float(a.top.iloc[0])).search(np.stack(b.v.to_numpy()), own, k)
+        out = []
+        for row, q_id, (found, score) in zip(b.row.to_numpy(), b.vec_id.to_numpy(), got):
             best = np.lexsort((ids[found], -score))[:k]
-            out.append((np.full(len(best), q_id), ids[found[best]], score[best]))
-        return pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("query_id", "vec_id", "score"))})
+            out.append((np.full(len(best), row), np.full(len(best), q_id), ids[found[best]], score[best]))
+        return pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("row", "query_id", "vec_id", "score"))})
 
-    best = left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInPandas(search, schema)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    by = ["d", "s", "b"]
+    best = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, "row bigint, query_id bigint, vec_id bigint, score double")
+    w = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

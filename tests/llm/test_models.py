@@ -76,6 +76,12 @@ def test_odd_vectors(spark):
     assert run(spark, df) == {0: [(1, 2.0), (8, 1.0), (9, 1.0), (20, 1.0)], 20: [(1, 2.0), (0, 1.0), (8, 1.0), (9, 1.0)]}
     assert run(spark, df.limit(0)) == {}
     assert run(spark, df.where("vec_id = 0")) == {}
+    # Rows that share a vec_id are rows of their own; vectors of other lengths are searched among themselves.
+    twice = [(20, [1.0, 0.0]), (20, [3.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (40, [1.0, 1.0, 1.0]), (2, [1.0, 0.0, 0.0])]
+    got = nearest.nearest(spark.createDataFrame(twice, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect()
+    assert sorted(map(tuple, got)) == sorted([(20, 1, 20, 3.0), (20, 2, 1, 2.0), (20, 3, 1, 2.0), (20, 1, 1, 6.0), (20, 2, 1, 6.0), (20, 3, 20, 3.0), (40, 1, 2, 1.0)])
+    clash = df.selectExpr("*", "1 as _q", "2 as row", "3 as d", "4 as s", "5 as rank")
+    assert run(spark, clash) == run(spark, df)
     many = spark.createDataFrame([(i, [1.0, 1.0] if i % 3 else [float(i), -1.0]) for i in range(300)], "vec_id long, embedding array<float>")
     ids, x = np.arange(300), np.array([[1.0, 1.0] if i % 3 else [float(i), -1.0] for i in range(300)])
     assert run(spark, many, shard=64) == exact(ids, x, range(0, 300, 20), 20)
