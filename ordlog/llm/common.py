@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ordlog.sources.scratch import discard, free, saved, shared_dir
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "discard", "free", "saved", "shared_dir", "table", "to_python"]
+
 #: Rows and bytes in an Arrow batch that goes to Python; a longer text is a batch by itself.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
@@ -17,38 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset and Spark runs in one process, a new temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    path = tempfile.mkdtemp(prefix="ordlog-")
-    atexit.register(shutil.rmtree, path, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{path}")
-    return f"file://{path}"
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """The same rows as a Parquet table in the shared folder: later stages don't recompute them and survive lost executors. It goes when the
-    driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ordlog/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def free(df: DataFrame, name: str) -> str:
-    """The name, or it with underscores before it, that no column of df has in any case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
-
-
 def to_python(spark: SparkSession) -> None:
     """Bounds the memory of Arrow batches, unless the session has a lower bound already."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
