@@ -7,16 +7,22 @@ some v other than zero is orthogonal to all of them, and in that table the pair
 A table's bucket yields a spanning forest of its links, found by walking out from one fingerprint at a time over those not yet reached, so copies
 of a text never make all pairs. Buckets above BLOCK fingerprints are cut into blocks, and each two blocks are one task: memory is bounded
 and no link is lost. Components of the forest are the classes.
+
+Texts that share a part SIMILAR of their shingles differ in up to 14 bits of the shingles' fingerprint, too many for tables that all pairs meet in.
+`similar` therefore covers the fingerprints of single words, which such texts share nearly all of and where they differ in few bits. What meets in a
+bucket is held against a wide fingerprint of the shingles there and then; the bucket yields a spanning forest of the nearest, and each of
+its links is verified by the exact similarity of the two texts' sets of shingles.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordlog.llm.common import free, saved, to_python
@@ -25,6 +31,10 @@ from ordlog.llm.components import components
 WORDS, RADIUS, BLOCK, SEED = 4, 4, 4096, 42
 #: Bits of a fingerprint.
 BITS = 64
+#: For `similar`: words in a shingle, the least part of two texts' shingles that they share, and the radius of the words' fingerprints.
+SHINGLE, SIMILAR, WORD_RADIUS = 5, 0.8, 6
+#: Bits of the wide fingerprint in numbers of 64, and buckets up to which all pairs are looked at together.
+WIDE, SMALL = 4, 64
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -85,18 +95,24 @@ def forest(fps: np.ndarray, radius: int, fps2: np.ndarray | None = None) -> list
     return out
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """(a, b): a spanning forest, bucket by bucket, of the distinct fingerprints fp within the radius."""
+def dealt_out(nodes: DataFrame, name: str, radius: int, block: int) -> tuple[DataFrame, list[str]]:
+    """Rows that share a key in some table, once for each pair of blocks that they are in, and the columns that tell such groups. Rows have a
+    column fp and are told apart by column `name`."""
     ms = F.array(*[F.lit(m) for m in masks(radius)])
-    keyed = nodes.select("fp", F.posexplode(F.transform(ms, lambda m: m.bitwiseAND(F.col("fp")))).alias("t", "key"))
+    keyed = nodes.select(*nodes.columns, F.posexplode(F.transform(ms, lambda m: m.bitwiseAND(F.col("fp")))).alias("t", "key"))
     # Saved, so that AQE can split the rows of a big bucket, which it can't where the other side is an aggregate itself.
     size = saved(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1))
     met = keyed.join(size.hint("merge"), ["t", "key"])
     blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp", "t"), blocks).cast("int")
+    own = F.pmod(F.xxhash64(name, "t"), blocks).cast("int")
     other = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = met.select("fp", "t", "key", F.explode(other).alias("p")).select("fp", "t", "key", "p.i", "p.j")
     by = ["t", "key", "i", "j"]
+    return met.select(*nodes.columns, "t", "key", F.explode(other).alias("p")).select(*nodes.columns, "t", "key", "p.i", "p.j"), by
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """(a, b): a spanning forest, bucket by bucket, of the distinct fingerprints fp within the radius."""
+    dealt, by = dealt_out(nodes, "fp", radius, block)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups follow one another; one that goes on in the next batch waits for it. A group has at most about two blocks of rows."""
@@ -156,3 +172,188 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> Da
     stays = stays.withColumnRenamed("uid", uid)
     kept = named.join(stays, ["doc_id", uid], "left_semi").dropDuplicates(["doc_id", uid]).select(*docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))
+
+
+def mixed(h: np.ndarray, n: int) -> np.ndarray:
+    """n numbers of 64 bits for each hash, as rows."""
+    out = h[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        out = (out ^ out >> np.uint64(shift)) * np.uint64(odd)
+    return out ^ out >> np.uint64(31)
+
+
+def majority(h: np.ndarray) -> np.ndarray:
+    """For each column of hashes the 64 bits that over half of them have."""
+    total = np.zeros(h.shape[1] * BITS, np.int64)
+    for lo in range(0, len(h), 4096):
+        total += np.unpackbits(np.ascontiguousarray(h[lo : lo + 4096]).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * total > len(h), bitorder="little").view(np.uint64)
+
+
+def shingles(text: str | None, words: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted; of the whole sequence of words where there are fewer, none without a word."""
+    w = (text or "").encode().lower().split()
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.array([digest(b" ".join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))] if w else [], np.uint64))
+
+
+def word_fingerprint(text: str | None) -> int:
+    """The 64 majority bits of the hashes of a text's words, repeats included; words are runs of letters and digits, or of anything but white space
+    where there are none."""
+    low = (text or "").encode().lower()
+    w = re.findall(rb"[0-9a-z\x80-\xff]+", low) or low.split()
+    return int(majority(np.array([[xxhash.xxh3_64_intdigest(x, SEED)] for x in w], np.uint64).reshape(-1, 1))[0]) if w else 0
+
+
+def most_apart(similarity: float) -> int:
+    """Differing bits of wide fingerprints up to which sets of this similarity stay with odds of 99 in 100. Their cosine is at least
+    2 s / (1 + s), and a bit differs with the part of a half turn that the angle is."""
+    p = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
+    n = WIDE * BITS
+    return int(np.ceil(n * p + 2.6 * np.sqrt(n * p * (1 - p))))
+
+
+def spanning(fp: np.ndarray, wide: np.ndarray, radius: int, apart: int) -> Iterator[tuple[int, int]]:
+    """Links that join what is near, the nearest first: to what is joined already, the place that is fewest bits apart comes next."""
+    best, via = np.full(len(fp), apart + 1), np.full(len(fp), -1)
+    rest = np.arange(len(fp))
+    while len(rest):
+        k = int(np.argmin(best[rest]))
+        x = int(rest[k])
+        if via[x] >= 0:
+            yield int(via[x]), x
+        rest = np.delete(rest, k)
+        d = np.bitwise_count(wide[rest] ^ wide[x]).sum(1)
+        nearer = (d < best[rest]) & (np.bitwise_count(fp[rest] ^ fp[x]) <= radius)
+        best[rest[nearer]], via[rest[nearer]] = d[nearer], x
+
+
+def candidates(nodes: DataFrame, radius: int, apart: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that join, bucket by bucket, the texts whose words' fingerprints fp are within the radius and whose wide ones s0, s1, ... are
+    at most `apart`; id is 16 bytes."""
+    dealt, by = dealt_out(nodes, "id", radius, block)
+    n = len(by)
+
+    def forest_of(rows: np.ndarray, cut: np.ndarray) -> Iterator[tuple[int, int]]:
+        """rows: by, fp, wide, id; cut: where groups begin, the end too."""
+        fp, wide = rows[:, n].view(np.uint64), np.ascontiguousarray(rows[:, n + 1 : n + 1 + WIDE]).view(np.uint64)
+        size = np.diff(cut)
+        group = np.repeat(np.arange(len(size)), size)
+        left = np.where(size <= SMALL, size, 0)[group]  # rows of large groups take no part in the pairs
+        place = np.arange(len(rows)) - cut[group]
+        found = []
+        for off in range(1, int(left.max(initial=0))):
+            a = np.flatnonzero(place + off < left)
+            a = a[np.bitwise_count(fp[a] ^ fp[a + off]) <= radius]
+            d = np.bitwise_count(wide[a] ^ wide[a + off]).sum(1)
+            found.append(np.stack([d, a, a + off], 1)[d <= apart])
+        parent: dict[int, int] = {}
+        for d, a, b in sorted(map(tuple, np.concatenate(found).tolist())) if found else ():
+            x, y = a, b
+            while x in parent:
+                x = parent[x]
+            while y in parent:
+                y = parent[y]
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                yield a, b
+        for g in np.flatnonzero(size > SMALL):
+            lo, hi = cut[g], cut[g + 1]
+            yield from ((lo + a, lo + b) for a, b in spanning(fp[lo:hi], wide[lo:hi], radius, apart))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups follow one another; one that goes on in the next batch waits for it. A group has at most about two blocks of rows."""
+        held = np.zeros((0, n + 3 + WIDE), np.int64)
+        for b in _and_none(batches):
+            if b is not None:
+                numbers = [c.to_numpy().astype(np.int64) for c in b.columns[:-1]]
+                ids = np.frombuffer(b"".join(b.column(b.num_columns - 1).to_pylist()), np.int64).reshape(-1, 2)
+                held = np.concatenate([held, np.concatenate([np.stack(numbers, 1), ids], 1)])
+            cut = np.append(0, np.flatnonzero((held[1:, :n] != held[:-1, :n]).any(1)) + 1)
+            cut = np.append(cut, len(held)) if b is None else cut
+            rows, held = held[: cut[-1]], held[cut[-1] :]
+            pairs = np.array(list(forest_of(rows, cut)), np.int64).reshape(-1, 2)
+            if len(pairs):
+                names = np.ascontiguousarray(rows[:, -2:])
+                ends = [pa.array([names[x].tobytes() for x in pairs[:, k]], pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+    ordered = dealt.select(*by, "fp", *[f"s{i}" for i in range(WIDE)], "id").repartition(*by).sortWithinPartitions(*by)
+    pairs = ordered.mapInArrow(walk, "a binary, b binary")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _and_none(xs: Iterator) -> Iterator:
+    yield from xs
+    yield None
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose texts (id, text) share at least the part `similarity` of their distinct shingles; two without words share all.
+    pairs: a saved table."""
+    used = saved(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "h"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            alike = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, True))
+                alike.append(common >= similarity * (len(x) + len(y) - common))
+            keep = pa.array(alike, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+
+    to_python(pairs.sparkSession)
+    own = saved(texts.join(used, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id binary, h binary"))
+    side = lambda end, h: own.select(F.col("id").alias(end), F.col("h").alias(h))
+    return pairs.join(side("a", "x").hint("merge"), "a").join(side("b", "y").hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary")
+
+
+def similar(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILAR, radius: int = WORD_RADIUS) -> DataFrame:
+    """(doc_id, id, root) of every row with a doc_id: id is 16 bytes that tell its text, root the id that names its class. Two texts that share
+    a part `similarity` of their shingles or more are linked if the covering tables bring them together; no link is weaker.
+
+    Null and empty texts have one id, and all texts without words are one class. Repeated rows stay. An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    to_python(spark)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "id", "fp", *[f"s{i}" for i in range(WIDE)]]
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            fp = np.array([word_fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            wide = np.array([majority(mixed(h, WIDE)) if len(h := shingles(t, words)) else np.zeros(WIDE, np.uint64) for t in texts], np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), *[pa.array(np.ascontiguousarray(wide[:, i])) for i in range(WIDE)]], names)
+
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), text_id(F.col("text")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    columns = ", ".join(f"s{i} bigint" for i in range(WIDE))
+    made = saved(texts.mapInArrow(make, f"doc_id bigint, id binary, fp bigint, {columns}"))
+    nodes = saved(made.groupBy("id").agg(*[F.max(c).alias(c) for c in made.columns if c not in ("doc_id", "id")]))
+    pairs = saved(candidates(nodes, radius, most_apart(similarity)))
+    linked = components(verified(pairs, texts.select("id", "text"), words, similarity)).withColumnRenamed("node", "id")
+    return made.select("doc_id", "id").join(linked, "id", "left").select("doc_id", "id", F.coalesce("root", "id").alias("root"))
+
+
+def text_id(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def deduplicate_similar(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILAR) -> DataFrame:
+    """Documents without near-duplicates by shingles, with all their columns: of each class of `similar` one row of the least doc_id stays, the
+    one of the least text id where several have it. Rows without a doc_id stay, as no class can name them. An empty table gives no rows."""
+    rows = saved(similar(docs, words, similarity).groupBy("doc_id", "id", "root").agg(F.count("*").alias("n")))
+    least = saved(rows.groupBy("root").agg(F.min(F.struct("doc_id", "id")).alias("least")))
+    marked = rows.join(least.hint("merge"), "root").select("doc_id", "id", "n", (F.struct("doc_id", "id") == F.col("least")).alias("stays"))
+    # Most rows neither go nor are repeated; they are not shuffled where the others are few.
+    other = saved(marked.where("not stays or n > 1"))
+    id_, key = free(docs, "_id"), free(docs, "_doc")
+    mark = other.select(F.col("doc_id").alias(key), F.col("id").alias(id_), "stays")
+    named = docs.withColumn(id_, text_id(F.col("text"))).withColumn(key, F.col("doc_id").cast("bigint"))
+    single = named.join(mark.drop("stays"), [key, id_], "left_anti")
+    once = named.join(mark.where("stays").drop("stays"), [key, id_], "left_semi").dropDuplicates([key, id_])
+    return single.select(*docs.columns).unionByName(once.select(*docs.columns))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -33,6 +34,25 @@ def test_components(spark, edges):
     assert got == roots({x for e in real for x in e}, real)
 
 
+@pytest.mark.parametrize("name", ["chain", "backwards", "comb", "star", "zigzag", "hubs"])
+def test_components_take_few_rounds(spark, monkeypatch, name):
+    """Graphs that take a contraction without jumps as many rounds as they have nodes, or that have one large hub."""
+    n = 10_000 if name == "chain" else 3000
+    edges = {
+        "chain": [(i, i + 1) for i in range(n)],
+        "backwards": [(n - i, n - i - 1) for i in range(n)],
+        "comb": [(i, i + 1) for i in range(n // 2)] + [(i, n + i) for i in range(n // 2)],
+        "star": [(n, i) for i in range(n)],
+        "zigzag": [(i, n + i) for i in range(n // 2)] + [(n + i, i + 1) for i in range(n // 2)],
+        "hubs": [(10 * n + i % 50, i) for i in range(n)] + [(10 * n + i, 10 * n + i + 1) for i in range(49)],
+    }[name]
+    saves, keep = [], components.saved
+    monkeypatch.setattr(components, "saved", lambda df: saves.append(1) or keep(df))
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == roots({x for e in edges for x in e}, edges)
+    assert len(saves) <= 40
+
+
 def test_components_of_random_graphs(spark):
     rnd = random.Random(1)
     for n in (300,):
@@ -113,6 +133,73 @@ def test_odd_documents(spark, docs):
     assert simhash.near_duplicates(docs((1, "x")).limit(0)).collect() == []
 
 
+def jaccard_roots(rows, words=5, similarity=0.8):
+    """Classes of texts by all pairs of shingle sets."""
+    sets = {}
+    for i, t in rows:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode().split()
+        sets[i] = {b" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+    has = {}
+    for i, s in sets.items():
+        for x in s or {None}:
+            has.setdefault(x, []).append(i)
+    common = {}
+    for own in has.values():
+        for n, a in enumerate(own):
+            for b in own[n + 1 :]:
+                common[a, b] = common.get((a, b), 0) + 1
+    edges = [(a, b) for (a, b), n in common.items() if not sets[a] or n >= similarity * (len(sets[a]) + len(sets[b]) - n)]
+    return roots(list(sets), edges), edges
+
+
+def test_similar_texts_of_the_whole_table(spark):
+    df = table(spark, SF, "documents")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    want, edges = jaccard_roots(rows)
+    got = simhash.similar(df).collect()
+    root = {r.doc_id: bytes(r.root) for r in got}
+    texts = dict(rows)
+    near = [(a, b) for a, b in edges if texts[a] != texts[b]]
+    assert len(got) == len(rows) and len(near) > 10
+    assert np.mean([root[a] == root[b] for a, b in near]) >= 0.97 and all(root[a] == root[b] for a, b in edges if texts[a] == texts[b])
+    by = {}
+    for i, r in root.items():
+        by.setdefault(r, set()).add(want[i])
+    assert all(len(x) == 1 for x in by.values())  # no class holds more than a class of all pairs
+    kept = {r.doc_id for r in simhash.deduplicate_similar(df).collect()}
+    least = {}
+    for i, r in root.items():
+        least[r] = min(i, least.get(r, i))
+    assert kept == set(least.values()) and set(want.values()) <= kept
+
+
+def test_large_groups_of_near_copies(spark, docs):
+    """A group of more than SMALL texts, each with words of its own, and one of more than a block."""
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(400)]
+    copies = [(i, " ".join(w if rnd.random() > 0.004 else f"x{rnd.randrange(9**9)}" for w in base)) for i in range(300)]
+    other = [(1000 + i, " ".join(f"w{rnd.randrange(5000)}" for _ in range(400))) for i in range(200)]
+    want, _ = jaccard_roots(copies + other)
+    assert len({want[i] for i, _ in copies}) == 1 and len(set(want.values())) == 201
+    assert {r.doc_id for r in simhash.deduplicate_similar(docs(*copies, *other)).collect()} == set(want.values())
+    nodes = [(bytes([i % 256, i // 256] + [0] * 14), 0, 0, 0, 0, (1 << i % 20) - 1) for i in range(300)]
+    nodes = spark.createDataFrame(nodes, "id binary, fp long, s0 long, s1 long, s2 long, s3 long")
+    for block in (40, 4096):
+        pairs = [(bytes(r.a), bytes(r.b)) for r in simhash.candidates(nodes, 5, 3, block).collect()]
+        ids = [bytes(r.id) for r in nodes.collect()]
+        assert len(set(roots(ids, pairs).values())) == 1 and len(pairs) < 300 * 299 / 8
+
+
+def test_odd_texts_among_similar_ones(spark, docs):
+    long = " ".join(f"w{i}" for i in range(20_000))
+    rows = [(5, None), (4, ""), (3, " \n"), (2, "One two three"), (1, "ONE two\tthree"), (9, long), (8, long + " x"), (None, "solo"), (None, "solo"), (7, "a b c d e f"), (7, "u v w x y z"), (7, "a b c d e f"), (6, "| | |"), (10, "| | | |")]
+    df = docs(*rows).selectExpr("*", "1 as id", "2 as root", "3 as _id", "4 as _doc", "5 as fp", "6 as stays")
+    out = simhash.deduplicate_similar(df)
+    assert out.columns == df.columns and all(r[-6:] == (1, 2, 3, 4, 5, 6) for r in out.collect())
+    assert sorted((r.doc_id or 0, (r.text or "")[:11]) for r in out.collect()) == sorted([(0, "solo"), (0, "solo"), (1, "ONE two\tthr"), (3, " \n"), (6, "| | |"), (7, "a b c d e f"), (7, "u v w x y z"), (8, "w0 w1 w2 w3"), (10, "| | | |")])
+    assert simhash.deduplicate_similar(df.limit(0)).collect() == []
+
+
 # lines
 
 
@@ -157,6 +244,46 @@ def test_random_lines(spark, docs):
         assert got == plain_dedup(rows, 20)
 
 
+def test_least_places():
+    rnd = np.random.default_rng(8)
+    for n in (1, 2, 7, 300):
+        h = rnd.integers(0, 9, n).astype(np.uint64)
+        lo = rnd.integers(0, n, 200)
+        hi = np.minimum(n - 1, lo + rnd.integers(0, n, 200))
+        assert line_dedup.least_places(h, lo, hi).tolist() == [a + int(np.argmin(h[a : b + 1])) for a, b in zip(lo, hi)]
+
+
+def test_many_blank_lines(spark, docs):
+    """A million blank lines in one text take a moment, not their square."""
+    head, tail = (" ".join(f"{c}{i}" for i in range(40)) for c in "ht")
+    text = head + "\n" * 1_000_000 + tail
+    t = time.time()
+    got = line_dedup.windows_of(np.concatenate([[5], np.full(999_999, 3), [4]]).astype(np.uint64), np.array([40, *[0] * 999_999, 40]), np.zeros(1_000_001, int), 50)[0]
+    assert time.time() - t < 20 and set(got[0].tolist()) == {3}
+    few = head + "\n" * 20_000 + tail
+    out = {r.doc_id: r.text for r in line_dedup.deduplicate(docs((1, few), (2, "x\n" + few + "\ny"), (3, text)), drop_empty=True).collect()}
+    assert out[1] == few and out[2] == "x\ny" and out[3] == text
+
+
+def test_equal_hashes_of_runs_delete_nothing(spark):
+    """Windows that only a hash of their run brought together are held against each other line by line, and true ones grow to both sides."""
+    h = lambda text: b"".join(line_dedup.line_hash(c.encode()) for c in text)
+    lines = saved(spark.createDataFrame([(1, 0, h("abcdefg")), (2, 0, h("xbcdey")), (3, 0, h("abXdefgabc")), (4, 0, h("q" * 300)), (5, 0, h("zz" + "q" * 300))], "doc long, uid long, h binary"))
+    rows = [
+        (2, 0, 1, 0, 0, [(2, 3)]), (2, 0, 1, 0, 1, [(2, 3)]), (3, 0, 1, 0, 0, [(1, 2), (3, 4), (5, 5), (2, 2)]), (3, 0, 1, 0, 7, [(8, 8)]),
+        (3, 0, 3, 0, 7, [(7, 8)]), (5, 0, 4, 0, 2, [(100, 101), (290, 291)]), (5, 0, 4, 0, 2, [(10, 10)]),
+    ]
+    found = saved(spark.createDataFrame(rows, "doc long, uid long, xdoc long, xuid long, shift int, seeds array<struct<first:int,last:int>>"))
+    got = sorted((r.doc_id, r["first"], r["last"]) for r in line_dedup.extended(found, lines).collect())
+    assert got == sorted([(2, 1, 4), (3, 3, 6), (3, 7, 9), (3, 7, 8), (5, 50, 301), (5, 2, 60)])
+
+
+def test_white_space_of_any_kind_is_nothing(spark, docs):
+    passage = " ".join(f"p{i}" for i in range(55))
+    rows = [(1, passage), (2, f"\n\t\u00a0\n{passage}\n \x1c"), (3, "\n\t")]
+    assert {r.doc_id for r in line_dedup.deduplicate(docs(*rows), drop_empty=True).collect()} == {1, 3}
+
+
 def test_columns_of_any_name_stay(spark, docs):
     passage = " ".join(f"p{i}" for i in range(55))
     df = docs((1, passage), (2, "x\n" + passage), (3, "other words that stay here")).selectExpr("*", "1 as _uid", "2 as _gone", "3 as _hit", "4 as uid", "5 as _key", "6 as fp", "7 as root", "8 as first", "9 as _id")
