@@ -9,9 +9,10 @@ of a text never make all pairs. Buckets above BLOCK fingerprints are cut into bl
 and no link is lost. Components of the forest are the classes.
 
 Texts that share a part SIMILAR of their shingles differ in up to 14 bits of the shingles' fingerprint, too many for tables that all pairs meet in.
-`similar` therefore covers the fingerprints of single words, which such texts share nearly all of and where they differ in few bits. What meets in a
-bucket is held against a wide fingerprint of the shingles there and then; the bucket yields a spanning forest of the nearest, and each of
-its links is verified by the exact similarity of the two texts' sets of shingles.
+`similar` therefore covers fingerprints of single words, which such texts share nearly all of and where they differ in few bits; there are VIEWS of
+them by unlike hashes, so that a pair which one places beyond the radius has another chance. What meets in a bucket is held against the
+shingles' fingerprint there and then; the bucket yields a spanning forest of the nearest, and each of its links is verified by the exact
+similarity of the two texts' sets of shingles.
 """
 
 from __future__ import annotations
@@ -31,10 +32,14 @@ from ordlog.llm.components import components
 WORDS, RADIUS, BLOCK, SEED = 4, 4, 4096, 42
 #: Bits of a fingerprint.
 BITS = 64
-#: For `similar`: words in a shingle, the least part of two texts' shingles that they share, and the radius of the words' fingerprints.
-SHINGLE, SIMILAR, WORD_RADIUS = 5, 0.8, 6
-#: Bits of the wide fingerprint in numbers of 64, and buckets up to which all pairs are looked at together.
-WIDE, SMALL = 4, 64
+#: For `similar`: words in a shingle, the least part of two texts' shingles that they share, and fingerprints of a text's words.
+SHINGLE, SIMILAR, VIEWS = 5, 0.8, 2
+#: Buckets up to which all pairs are looked at together, and near pairs for each of a bucket's texts up to which they are listed.
+SMALL, DENSE = 64, 64
+#: One of so many texts is counted to tell large buckets beforehand; what is found doesn't depend on it.
+COUNTED = 16
+#: Rows that a task looks through together, besides those of a group that isn't whole yet.
+WALK = 200_000
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -95,24 +100,18 @@ def forest(fps: np.ndarray, radius: int, fps2: np.ndarray | None = None) -> list
     return out
 
 
-def dealt_out(nodes: DataFrame, name: str, radius: int, block: int) -> tuple[DataFrame, list[str]]:
-    """Rows that share a key in some table, once for each pair of blocks that they are in, and the columns that tell such groups. Rows have a
-    column fp and are told apart by column `name`."""
+def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """(a, b): a spanning forest, bucket by bucket, of the distinct fingerprints fp within the radius."""
     ms = F.array(*[F.lit(m) for m in masks(radius)])
-    keyed = nodes.select(*nodes.columns, F.posexplode(F.transform(ms, lambda m: m.bitwiseAND(F.col("fp")))).alias("t", "key"))
+    keyed = nodes.select("fp", F.posexplode(F.transform(ms, lambda m: m.bitwiseAND(F.col("fp")))).alias("t", "key"))
     # Saved, so that AQE can split the rows of a big bucket, which it can't where the other side is an aggregate itself.
     size = saved(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1))
     met = keyed.join(size.hint("merge"), ["t", "key"])
     blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64(name, "t"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("fp", "t"), blocks).cast("int")
     other = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    dealt = met.select("fp", "t", "key", F.explode(other).alias("p")).select("fp", "t", "key", "p.i", "p.j")
     by = ["t", "key", "i", "j"]
-    return met.select(*nodes.columns, "t", "key", F.explode(other).alias("p")).select(*nodes.columns, "t", "key", "p.i", "p.j"), by
-
-
-def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """(a, b): a spanning forest, bucket by bucket, of the distinct fingerprints fp within the radius."""
-    dealt, by = dealt_out(nodes, "fp", radius, block)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups follow one another; one that goes on in the next batch waits for it. A group has at most about two blocks of rows."""
@@ -174,14 +173,6 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> Da
     return kept.unionByName(docs.where("doc_id is null"))
 
 
-def mixed(h: np.ndarray, n: int) -> np.ndarray:
-    """n numbers of 64 bits for each hash, as rows."""
-    out = h[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        out = (out ^ out >> np.uint64(shift)) * np.uint64(odd)
-    return out ^ out >> np.uint64(31)
-
-
 def majority(h: np.ndarray) -> np.ndarray:
     """For each column of hashes the 64 bits that over half of them have."""
     total = np.zeros(h.shape[1] * BITS, np.int64)
@@ -190,27 +181,40 @@ def majority(h: np.ndarray) -> np.ndarray:
     return np.packbits(2 * total > len(h), bitorder="little").view(np.uint64)
 
 
-def shingles(text: str | None, words: int = SHINGLE) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, sorted; of the whole sequence of words where there are fewer, none without a word."""
-    w = (text or "").encode().lower().split()
-    digest = xxhash.xxh3_64_intdigest
-    return np.unique(np.array([digest(b" ".join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))] if w else [], np.uint64))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A row of VIEWS hashes for each word."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(w, SEED) for w in words]), np.uint64).reshape(-1, VIEWS)
 
 
-def word_fingerprint(text: str | None) -> int:
-    """The 64 majority bits of the hashes of a text's words, repeats included; words are runs of letters and digits, or of anything but white space
-    where there are none."""
+def shingles(text: str | None, words: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted; of the whole sequence of words where there are fewer, none without a word. A shingle's hash
+    is made of its words' hashes in order."""
+    w = (text or "").encode().lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    own = word_hashes(w)
+    n = max(1, len(w) - words + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(min(words, len(w))):
+        h = (h ^ own[k : k + n, 0]) * np.uint64(0x9E3779B97F4A7C15) + own[k : k + n, 1]
+        h ^= h >> np.uint64(29)
+    return np.unique(h * np.uint64(0xBF58476D1CE4E5B9) ^ h >> np.uint64(32))
+
+
+def word_fingerprints(text: str | None) -> np.ndarray:
+    """For each view the 64 majority bits of the hashes of a text's words, repeats included; words are runs of letters and digits, or of anything but
+    white space where there are none."""
     low = (text or "").encode().lower()
     w = re.findall(rb"[0-9a-z\x80-\xff]+", low) or low.split()
-    return int(majority(np.array([[xxhash.xxh3_64_intdigest(x, SEED)] for x in w], np.uint64).reshape(-1, 1))[0]) if w else 0
+    return majority(word_hashes(w)) if w else np.zeros(VIEWS, np.uint64)
 
 
 def most_apart(similarity: float) -> int:
-    """Differing bits of wide fingerprints up to which sets of this similarity stay with odds of 99 in 100. Their cosine is at least
+    """Differing bits of shingles' fingerprints up to which sets of this similarity stay with odds of 99 in 100. Their cosine is at least
     2 s / (1 + s), and a bit differs with the part of a half turn that the angle is."""
     p = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
-    n = WIDE * BITS
-    return int(np.ceil(n * p + 2.6 * np.sqrt(n * p * (1 - p))))
+    return int(np.ceil(BITS * p + 2.6 * np.sqrt(BITS * p * (1 - p))))
 
 
 def spanning(fp: np.ndarray, wide: np.ndarray, radius: int, apart: int) -> Iterator[tuple[int, int]]:
@@ -223,64 +227,101 @@ def spanning(fp: np.ndarray, wide: np.ndarray, radius: int, apart: int) -> Itera
         if via[x] >= 0:
             yield int(via[x]), x
         rest = np.delete(rest, k)
-        d = np.bitwise_count(wide[rest] ^ wide[x]).sum(1)
+        d = np.bitwise_count(wide[rest] ^ wide[x])
         nearer = (d < best[rest]) & (np.bitwise_count(fp[rest] ^ fp[x]) <= radius)
         best[rest[nearer]], via[rest[nearer]] = d[nearer], x
 
 
+def near_pairs(fp: np.ndarray, wide: np.ndarray, radius: int, apart: int) -> np.ndarray | None:
+    """(bits apart, a, b) of all near pairs of a group; None if there are over DENSE for each place."""
+    out, n = [], 0
+    for lo in range(0, len(fp), 256):
+        close = np.bitwise_count(fp[lo : lo + 256, None] ^ fp[None, lo:]) <= radius
+        a, b = np.nonzero(close)
+        keep = b > a
+        a, b = a[keep] + lo, b[keep] + lo
+        d = np.bitwise_count(wide[a] ^ wide[b]).astype(np.int64)
+        out.append(np.stack([d, a, b], 1)[d <= apart])
+        n += len(out[-1])
+        if n > DENSE * len(fp):
+            return None
+    return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+
+
+def joined(pairs: np.ndarray) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs (bits apart, a, b), the nearest first."""
+    parent: dict[int, int] = {}
+    for _, a, b in sorted(map(tuple, pairs.tolist())):
+        x, y = a, b
+        while x in parent:
+            x = parent[x]
+        while y in parent:
+            y = parent[y]
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            yield a, b
+
+
 def candidates(nodes: DataFrame, radius: int, apart: int, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that join, bucket by bucket, the texts whose words' fingerprints fp are within the radius and whose wide ones s0, s1, ... are
-    at most `apart`; id is 16 bytes."""
-    dealt, by = dealt_out(nodes, "id", radius, block)
+    """(a, b): links that join, bucket by bucket, the nodes of which a view v0, v1, ... of the words is within the radius and whose shingles'
+    fingerprints s are at most `apart`. nodes: a saved table with a column node.
+
+    Rows are shuffled once, to their buckets. Large buckets are told beforehand by a count of one node of COUNTED, and are cut into blocks, each two
+    of which are a group; a bucket that the count misjudges is a larger group and loses nothing.
+    """
+    ms = F.array(*[F.lit(m) for m in masks(radius)])
+    keys = lambda fp: F.transform(ms, lambda m: F.struct(m.bitwiseAND(fp).alias("key"), fp.alias("fp")))
+    every = F.concat(*[keys(F.col(f"v{i}")) for i in range(VIEWS)])
+    keyed = nodes.select("node", "s", F.posexplode(every).alias("t", "x")).select("node", "s", "t", "x.key", "x.fp")
+    some = keyed.where(F.pmod(F.xxhash64("node"), F.lit(COUNTED)) == 0)
+    large = saved(some.groupBy("t", "key").agg((F.count("*") * COUNTED).alias("n")).where(F.col("n") > block // 2))
+    blocks = F.coalesce(F.ceil(F.col("n") / block).cast("int"), F.lit(1))
+    own = F.pmod(F.xxhash64("node", "t"), blocks).cast("int")
+    other = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    dealt = keyed.join(large, ["t", "key"], "left").select("t", "key", "fp", "s", "node", F.explode(other).alias("p")).select("t", "key", "p.i", "p.j", "fp", "s", "node")
+    by = ["t", "key", "i", "j"]
     n = len(by)
 
     def forest_of(rows: np.ndarray, cut: np.ndarray) -> Iterator[tuple[int, int]]:
-        """rows: by, fp, wide, id; cut: where groups begin, the end too."""
-        fp, wide = rows[:, n].view(np.uint64), np.ascontiguousarray(rows[:, n + 1 : n + 1 + WIDE]).view(np.uint64)
+        """rows: by, fp, s, node; cut: where groups begin, the end too."""
         size = np.diff(cut)
-        group = np.repeat(np.arange(len(size)), size)
-        left = np.where(size <= SMALL, size, 0)[group]  # rows of large groups take no part in the pairs
-        place = np.arange(len(rows)) - cut[group]
+        alive = np.repeat(size > 1, size)  # most buckets hold one
+        rows, size = rows[alive], size[size > 1]
+        cut = np.append(0, np.cumsum(size))
+        fp, wide, node = (np.ascontiguousarray(rows[:, n + k]) for k in range(3))
+        fp, wide = fp.view(np.uint64), wide.view(np.uint64)
+        small = np.where(size <= SMALL, size, 0)
+        left, place = np.repeat(small, size), np.arange(len(rows)) - np.repeat(cut[:-1], size)
         found = []
+        at = np.flatnonzero(left > 0)
         for off in range(1, int(left.max(initial=0))):
-            a = np.flatnonzero(place + off < left)
-            a = a[np.bitwise_count(fp[a] ^ fp[a + off]) <= radius]
-            d = np.bitwise_count(wide[a] ^ wide[a + off]).sum(1)
+            at = at[place[at] + off < left[at]]
+            a = at[np.bitwise_count(fp[at] ^ fp[at + off]) <= radius]
+            d = np.bitwise_count(wide[a] ^ wide[a + off]).astype(np.int64)
             found.append(np.stack([d, a, a + off], 1)[d <= apart])
-        parent: dict[int, int] = {}
-        for d, a, b in sorted(map(tuple, np.concatenate(found).tolist())) if found else ():
-            x, y = a, b
-            while x in parent:
-                x = parent[x]
-            while y in parent:
-                y = parent[y]
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                yield a, b
+        forest = joined(np.concatenate(found)) if found else iter(())
+        yield from ((node[a], node[b]) for a, b in forest)
         for g in np.flatnonzero(size > SMALL):
             lo, hi = cut[g], cut[g + 1]
-            yield from ((lo + a, lo + b) for a, b in spanning(fp[lo:hi], wide[lo:hi], radius, apart))
+            pairs = near_pairs(fp[lo:hi], wide[lo:hi], radius, apart)
+            yield from ((node[lo + a], node[lo + b]) for a, b in (spanning(fp[lo:hi], wide[lo:hi], radius, apart) if pairs is None else joined(pairs)))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups follow one another; one that goes on in the next batch waits for it. A group has at most about two blocks of rows."""
-        held = np.zeros((0, n + 3 + WIDE), np.int64)
+        held = np.zeros((0, n + 3), np.int64)
         for b in _and_none(batches):
             if b is not None:
-                numbers = [c.to_numpy().astype(np.int64) for c in b.columns[:-1]]
-                ids = np.frombuffer(b"".join(b.column(b.num_columns - 1).to_pylist()), np.int64).reshape(-1, 2)
-                held = np.concatenate([held, np.concatenate([np.stack(numbers, 1), ids], 1)])
+                held = np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in b.columns], 1)])
+                if len(held) < WALK:
+                    continue
             cut = np.append(0, np.flatnonzero((held[1:, :n] != held[:-1, :n]).any(1)) + 1)
             cut = np.append(cut, len(held)) if b is None else cut
             rows, held = held[: cut[-1]], held[cut[-1] :]
             pairs = np.array(list(forest_of(rows, cut)), np.int64).reshape(-1, 2)
             if len(pairs):
-                names = np.ascontiguousarray(rows[:, -2:])
-                ends = [pa.array([names[x].tobytes() for x in pairs[:, k]], pa.binary()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], ["a", "b"])
 
-    ordered = dealt.select(*by, "fp", *[f"s{i}" for i in range(WIDE)], "id").repartition(*by).sortWithinPartitions(*by)
-    pairs = ordered.mapInArrow(walk, "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(walk, "a bigint, b bigint").distinct()
 
 
 def _and_none(xs: Iterator) -> Iterator:
@@ -289,13 +330,12 @@ def _and_none(xs: Iterator) -> Iterator:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose texts (id, text) share at least the part `similarity` of their distinct shingles; two without words share all.
-    pairs: a saved table."""
-    used = saved(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    """The pairs (a, b) of nodes whose texts (node, text) share at least the part `similarity` of their distinct shingles; two without words share
+    all. pairs: a saved table; a text that occurs again counts once."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "h"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "h"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -308,35 +348,38 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
     to_python(pairs.sparkSession)
-    own = saved(texts.join(used, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id binary, h binary"))
-    side = lambda end, h: own.select(F.col("id").alias(end), F.col("h").alias(h))
-    return pairs.join(side("a", "x").hint("merge"), "a").join(side("b", "y").hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary")
+    own = saved(texts.dropDuplicates(["node"]).mapInArrow(sets, "node bigint, h binary"))
+    side = lambda end, h: own.select(F.col("node").alias(end), F.col("h").alias(h))
+    return pairs.join(side("a", "x").hint("merge"), "a").join(side("b", "y").hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
-def similar(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILAR, radius: int = WORD_RADIUS) -> DataFrame:
-    """(doc_id, id, root) of every row with a doc_id: id is 16 bytes that tell its text, root the id that names its class. Two texts that share
+def similar(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, id, root) of every row with a doc_id: id is 16 bytes that tell its text, root a number that names its class. Two texts that share
     a part `similarity` of their shingles or more are linked if the covering tables bring them together; no link is weaker.
 
-    Null and empty texts have one id, and all texts without words are one class. Repeated rows stay. An empty table gives no rows.
+    Null and empty texts have one id, and all texts without words are one class. Repeated rows stay. Other columns are ignored. An empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     to_python(spark)
+    views = [f"v{i}" for i in range(VIEWS)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "id", "fp", *[f"s{i}" for i in range(WIDE)]]
         for b in batches:
             texts = b.column(2).to_pylist()
-            fp = np.array([word_fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            wide = np.array([majority(mixed(h, WIDE)) if len(h := shingles(t, words)) else np.zeros(WIDE, np.uint64) for t in texts], np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), *[pa.array(np.ascontiguousarray(wide[:, i])) for i in range(WIDE)]], names)
+            v = np.array([word_fingerprints(t) for t in texts], np.uint64).reshape(-1, VIEWS).view(np.int64)
+            s = np.array([majority(h[:, None])[0] if len(h := shingles(t, words)) else 0 for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(v[:, i])) for i in range(VIEWS)], pa.array(s)], ["doc_id", "id", *views, "s"])
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), text_id(F.col("text")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    columns = ", ".join(f"s{i} bigint" for i in range(WIDE))
-    made = saved(texts.mapInArrow(make, f"doc_id bigint, id binary, fp bigint, {columns}"))
-    nodes = saved(made.groupBy("id").agg(*[F.max(c).alias(c) for c in made.columns if c not in ("doc_id", "id")]))
+    made = saved(texts.mapInArrow(make, f"doc_id bigint, id binary, {', '.join(f'{v} bigint' for v in views)}, s bigint"))
+    nodes = saved(made.groupBy("id").agg(*[F.max(c).alias(c) for c in (*views, "s")]).withColumn("node", F.monotonically_increasing_id()))
     pairs = saved(candidates(nodes, radius, most_apart(similarity)))
-    linked = components(verified(pairs, texts.select("id", "text"), words, similarity)).withColumnRenamed("node", "id")
-    return made.select("doc_id", "id").join(linked, "id", "left").select("doc_id", "id", F.coalesce("root", "id").alias("root"))
+    # Only texts that have a candidate are read again; where these are few, the others aren't shuffled.
+    used = saved(nodes.join(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "node", "left_semi").select("id", "node"))
+    linked = components(verified(pairs, texts.join(used, "id").select("node", "text"), words, similarity))
+    rooted = saved(nodes.select("id", "node").join(linked, "node", "left").select("id", F.coalesce("root", "node").alias("root")))
+    return made.select("doc_id", "id").join(rooted.hint("merge"), "id").select("doc_id", "id", "root")
 
 
 def text_id(text: Column) -> Column:

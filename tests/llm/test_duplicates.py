@@ -157,7 +157,7 @@ def test_similar_texts_of_the_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in df.collect()]
     want, edges = jaccard_roots(rows)
     got = simhash.similar(df).collect()
-    root = {r.doc_id: bytes(r.root) for r in got}
+    root = {r.doc_id: r.root for r in got}
     texts = dict(rows)
     near = [(a, b) for a, b in edges if texts[a] != texts[b]]
     assert len(got) == len(rows) and len(near) > 10
@@ -182,12 +182,27 @@ def test_large_groups_of_near_copies(spark, docs):
     want, _ = jaccard_roots(copies + other)
     assert len({want[i] for i, _ in copies}) == 1 and len(set(want.values())) == 201
     assert {r.doc_id for r in simhash.deduplicate_similar(docs(*copies, *other)).collect()} == set(want.values())
-    nodes = [(bytes([i % 256, i // 256] + [0] * 14), 0, 0, 0, 0, (1 << i % 20) - 1) for i in range(300)]
-    nodes = spark.createDataFrame(nodes, "id binary, fp long, s0 long, s1 long, s2 long, s3 long")
+    rows = [(i, 0, -1 - i, (1 << i % 20) - 1) for i in range(300)]
+    nodes = spark.createDataFrame(rows, "node long, v0 long, v1 long, s long")
     for block in (40, 4096):
-        pairs = [(bytes(r.a), bytes(r.b)) for r in simhash.candidates(nodes, 5, 3, block).collect()]
-        ids = [bytes(r.id) for r in nodes.collect()]
-        assert len(set(roots(ids, pairs).values())) == 1 and len(pairs) < 300 * 299 / 8
+        pairs = [(r.a, r.b) for r in simhash.candidates(nodes, 4, 3, block).collect()]
+        assert len(set(roots(range(300), pairs).values())) == 1 and len(pairs) < 300 * 299 / 8
+
+
+def test_forests_of_groups():
+    """Small and large groups, with many near pairs and few, join what all pairs join."""
+    rnd = np.random.default_rng(7)
+    for n in (2, 60, 300, 700):
+        centre = rnd.integers(0, 1 << 63, 12).astype(np.uint64)
+        fp = np.array([centre[k] ^ np.uint64(1 << int(rnd.integers(0, 60))) for k in rnd.integers(0, 12, n)], np.uint64)
+        wide = np.array([np.uint64((1 << int(k)) - 1) for k in rnd.integers(0, 40, n)], np.uint64)
+        every = [(a, b) for a in range(n) for b in range(a + 1, n) if int(fp[a] ^ fp[b]).bit_count() <= 4 and int(wide[a] ^ wide[b]).bit_count() <= 2]
+        want = roots(range(n), every)
+        pairs = simhash.near_pairs(fp, wide, 4, 2)
+        assert pairs is None or {(a, b) for _, a, b in pairs.tolist()} == set(every)
+        if pairs is not None:
+            assert roots(range(n), simhash.joined(pairs)) == want
+        assert roots(range(n), list(simhash.spanning(fp, wide, 4, 2))) == want
 
 
 def test_odd_texts_among_similar_ones(spark, docs):
