@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ordlog.functions.coding import entry_size
 from ordlog.model import BATCH_SCHEMA, DELETE, ENTRY_OVERHEAD, GROUP_COMMIT, L0_SLOWDOWN, L0_STOP, PUT, WRITE_BUFFER
+from ordlog.operators.cuts import greedy
 from ordlog.plans.ordering import prefix_sum
 
 
@@ -16,14 +17,14 @@ class WriteBatch:
     """An ordered list of puts and deletes; later ones win."""
 
     def __init__(self) -> None:
-        self.ops: list[tuple[int, str, str | None]] = []
+        self.ops: list[tuple[int, str | bytes, str | bytes | None]] = []
 
     def put(self, key: str | bytes, value: str | bytes) -> WriteBatch:
-        self.ops.append((PUT, _text(key), _text(value)))
+        self.ops.append((PUT, key, value))
         return self
 
     def delete(self, key: str | bytes) -> WriteBatch:
-        self.ops.append((DELETE, _text(key), ""))
+        self.ops.append((DELETE, key, key[:0]))
         return self
 
     def clear(self) -> WriteBatch:
@@ -33,14 +34,20 @@ class WriteBatch:
     def count(self) -> int:
         return len(self.ops)
 
-    def frame(self, spark: SparkSession, batch_id: int = 0) -> DataFrame:
-        return spark.createDataFrame([(batch_id, i, *op) for i, op in enumerate(self.ops)], BATCH_SCHEMA)
+    def frame(self, spark: SparkSession, batch_id: int = 0, binary: bool = False) -> DataFrame:
+        """The operations as rows; with `binary`, keys and values as bytes."""
+        as_ = _bytes if binary else _text
+        return spark.createDataFrame([(batch_id, i, op, as_(k), as_(v)) for i, (op, k, v) in enumerate(self.ops)], BATCH_SCHEMA.replace("string", "binary") if binary else BATCH_SCHEMA)
 
 
-def _text(x: str | bytes) -> str:
+def _text(x: str | bytes | None) -> str | None:
     return x.decode() if isinstance(x, bytes) else x
 
 
+def _bytes(x: str | bytes | None) -> bytearray | None:
+    return x if x is None else bytearray(x.encode() if isinstance(x, str) else x)
+
+
 def sequence(batches: DataFrame, last: int = 0) -> DataFrame:
     """Gives the rows of (batch_id, ordinal, ...) consecutive seqs from last + 1, by batch and then ordinal. Batches are the ranges."""
     return prefix_sum(batches, F.col("batch_id"), [F.col("ordinal")], F.lit(1), "seq").withColumn("seq", (F.col("seq") + 1 + last).cast("bigint"))
@@ -79,6 +86,21 @@ def greedy_groups(sizes: Iterable[int], cap: int = GROUP_COMMIT) -> list[int]:
     return out
 
 
+def exact_groups(log: DataFrame, cap: int = GROUP_COMMIT) -> DataFrame:
+    """(batch_id, bytes, grp): a batch joins the group of those before it while their sum stays within cap; the first is always let in. The rule of
+    greedy_groups, for a log of any length."""
+    size = log.groupBy("batch_id").agg(F.sum(F.octet_length("k").cast("bigint") + F.octet_length("v")).alias("bytes"))
+    cum = prefix_sum(size, F.expr("batch_id div 1024"), [F.col("batch_id")], F.col("bytes"), "_cum")
+    return greedy(cum, "_cum", "bytes", "grp", cap, whole=True).drop("_cum")
+
+
+def exact_buffers(log: DataFrame, width: int = WRITE_BUFFER) -> DataFrame:
+    """The write buffer each entry goes to: a new one once those in the buffer hold over `width`, counted as entry_size and its overhead."""
+    sized = log.withColumn("_size", entry_size(F.col("k"), F.col("v")) + ENTRY_OVERHEAD)
+    cum = prefix_sum(sized, F.expr("seq div 65536"), [F.col("seq")], F.col("_size"), "_cum")
+    return greedy(cum, "_cum", "_size", "buffer", width).drop("_cum", "_size")
+
+
 def buffers(log: DataFrame, width: int = WRITE_BUFFER) -> DataFrame:
     """Which write buffer each entry falls into, by the running size of the entries before it."""
     cum = prefix_sum(log, F.expr("seq div 65536"), [F.col("seq")], entry_size(F.col("k"), F.col("v")) + ENTRY_OVERHEAD, "cum")

@@ -31,8 +31,8 @@ def visible(log: DataFrame, seq: int | None = None) -> DataFrame:
 def between(df: DataFrame, lo=None, hi=None) -> DataFrame:
     """Keys in [lo, hi); None is unbounded."""
     if lo is not None:
-        df = df.where(F.col("k") >= lo)
-    return df if hi is None else df.where(F.col("k") < hi)
+        df = df.where(F.col("k") >= F.lit(lo))
+    return df if hi is None else df.where(F.col("k") < F.lit(hi))
 
 
 def prefixed(df: DataFrame, prefix) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +12,10 @@ from ordlog.functions import bloom, coding
 from ordlog.model import DELETE, ENTRY_OVERHEAD, NUM_LEVELS, conversation_kv, events_log, head, key_of, table
 from ordlog.operators import batches, compaction, files, reads
 from ordlog.operators.batches import pressure
-from ordlog.plans.ordering import prefix_sum, ranked
+from ordlog.plans.ordering import key_range, prefix_sum, ranked
+from ordlog.plans.store import Store
+from ordlog.sources import edits, runs
+from ordlog.sources.scratch import saved, shared_dir
 
 S, KEY, SEEK, LO, HI = 5000, "00000042", "00000033", "00000020", "00000050"
 SNAPSHOTS = (2500, 5000)
@@ -54,6 +59,13 @@ def file_table(spark: SparkSession, d: str) -> DataFrame:
     return files.stats(placed(spark, d), "level", "file_no")
 
 
+def written(spark: SparkSession, log: DataFrame, *by: str) -> str:
+    """The path of a run with the log's rows, one folder for each value of a column."""
+    path = f"{shared_dir(spark)}/ordlog/run-{uuid.uuid4().hex}"
+    runs.flush(log, path, *(F.col(c) for c in by))
+    return path
+
+
 # point reads
 
 
@@ -173,17 +185,22 @@ def snapshot_bounds(spark, d):
     return n.select(F.explode(F.array(F.expr("n div 4"), F.expr("n div 2"), "n")).alias("s")).agg(F.min("s").alias("oldest"), F.max("s").alias("newest"))
 
 
-@query(f"with {LOG}, r as (select k, seq, 0 run from log where seq <= 1000 union all select k, seq, 1 from log where seq > 1000 and seq <= 2000) select k, seq, cast(run as bigint) run, row_number() over (order by k, seq desc, run) rn from r")
+@query(f"""with {LOG}, r as (select k, seq, ((seq - 1) * 4) // (select max(seq) from log) run from log)
+ select k, seq, cast(run as bigint) run, row_number() over (order by k, seq desc, run) rn from r""")
 def merge_runs(spark, d):
+    """The whole log, cut into four runs."""
     log = events_log(spark, d)
-    merged = reads.merge(log.where("seq <= 1000"), log.where("seq > 1000 and seq <= 2000"))
+    run = F.expr(f"((seq - 1) * 4) div {max(1, head(log))}")
+    merged = saved(reads.merge(*(log.where(run == i) for i in range(4))))
     order = [F.col("k"), F.desc("seq"), F.col("run")]
-    return prefix_sum(merged, F.substring("k", 1, 7), order, F.lit(1), "rn").select("k", "seq", F.col("run").cast("bigint"), (F.col("rn") + 1).cast("bigint").alias("rn"))
+    return prefix_sum(merged, key_range(merged, "k"), order, F.lit(1), "rn").select("k", "seq", F.col("run").cast("bigint"), (F.col("rn") + 1).cast("bigint").alias("rn"))
 
 
 @query(f"with {FILES} select f.file_no, p.k, p.seq from files f join placed p on p.file_no = f.file_no where f.level = 1")
 def level_scan(spark, d):
-    return placed(spark, d).where("level = 1").select("file_no", "k", "seq")
+    """Files of one level, written and read back."""
+    path = written(spark, placed(spark, d).where("level = 1"), "file_no")
+    return spark.read.parquet(path).select(F.col("part").cast("bigint").alias("file_no"), "k", "seq")
 
 
 @query(f"with {FILES} select f.file_no, p.k, count(*) n from files f join placed p on p.file_no = f.file_no and p.k between f.smallest and f.largest where f.largest >= '00000060' and f.smallest <= '00000080' and p.k between '00000060' and '00000080' group by 1, 2")
@@ -242,9 +259,8 @@ def group_commit(spark, d):
  select b.batch_id, b.bytes, case when g.held + b.bytes > 65536 then g.grp + 1 else g.grp end, case when g.held + b.bytes > 65536 then b.bytes else g.held + b.bytes end
  from g join b on b.batch_id = g.batch_id + 1) select batch_id, grp from g""")
 def group_commit_greedy(spark, d):
-    """The exact rule, over a writer's queue of batches (a row each), in order."""
-    sizes = events_log(spark, d).groupBy("batch_id").agg(F.sum(F.length("k").cast("bigint") + F.length("v")).alias("bytes")).orderBy("batch_id").collect()
-    return spark.createDataFrame([(r[0], g) for r, g in zip(sizes, batches.greedy_groups((r[1] for r in sizes), 65536))], "batch_id bigint, grp bigint")
+    """The exact rule over the whole log."""
+    return batches.exact_groups(events_log(spark, d), 65536).select("batch_id", "grp")
 
 
 SIZE = """(length(k) + 8 + case when length(k) + 8 < 128 then 1 else 2 end + octet_length(encode(v)) + case when octet_length(encode(v)) < 128 then 1
@@ -257,6 +273,14 @@ def memtable_rotation(spark, d):
     return batches.buffers(events_log(spark, d), 65536).groupBy("buffer").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
+@query(f"""with recursive {LOG}, c as (select *, coalesce(sum({SIZE} + {ENTRY_OVERHEAD}) over (order by seq rows between unbounded preceding and 1 preceding), 0) cum from log),
+ b(buffer, cum) as (select cast(0 as bigint), cast(0 as hugeint) union all select b.buffer + 1, cast(min(c.cum) as hugeint) from b join c on c.cum > b.cum + 65536 group by b.buffer, b.cum)
+ select buffer, count(*) n, min(seq) first_seq, max(seq) last_seq from (select seq, (select max(buffer) from b where b.cum <= c.cum) buffer from c) group by 1""")
+def memtable_rotation_exact(spark, d):
+    """A new buffer begins once the one before it is over its size, and counts from nothing."""
+    return batches.exact_buffers(events_log(spark, d), 65536).groupBy("buffer").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
 @query(f"with {LOG} select cast(sum({SIZE} + {ENTRY_OVERHEAD}) as bigint) bytes from log")
 def memory_usage(spark, d):
     return events_log(spark, d).agg(F.sum(coding.entry_size(F.col("k"), F.col("v")) + ENTRY_OVERHEAD).alias("bytes"))
@@ -270,19 +294,37 @@ def write_pressure(spark, d):
 # runs and levels
 
 
-@query(f"with {LOG} select k, seq, op, v from log where seq <= 1000")
+@query(f"with {LOG} select k, seq, op, v from log")
 def flush_run(spark, d):
-    return events_log(spark, d).where("seq <= 1000").select("k", "seq", "op", "v").repartitionByRange("k").sortWithinPartitions("k", F.desc("seq"))
+    """The whole log as a sorted run, written and read back."""
+    return runs.scan(spark, [written(spark, events_log(spark, d))])
 
 
 @query(f"with {PLACED} select k, seq, op, v from placed where file_no = 1")
 def run_scan(spark, d):
-    return placed(spark, d).where("file_no = 1").select("k", "seq", "op", "v").orderBy("k", F.desc("seq"))
+    """One file of the written runs, read by its folder."""
+    path = written(spark, placed(spark, d), "file_no")
+    return runs.scan(spark, [f"{path}/part=1"]).orderBy("k", F.desc("seq"))
 
 
 @query(f"with {PLACED} select k, seq, op, v from placed where file_no = 1 and k = '{KEY}' order by seq desc limit 1")
 def run_point_lookup(spark, d):
-    return reads.newest(placed(spark, d).where((F.col("file_no") == 1) & (F.col("k") == KEY)).select("k", "seq", "op", "v"))
+    path = written(spark, placed(spark, d).where("file_no = 1"))
+    return reads.newest(runs.scan(spark, [path]).where(F.col("k") == KEY))
+
+
+@query(f"with {VIS} select k, v, seq from vis")
+def store_scan(spark, d):
+    """The log written to a store in two batches of writes, flushed, compacted and read back."""
+    db = Store.open(spark, f"{shared_dir(spark)}/ordlog/store-{uuid.uuid4().hex}")
+    log = events_log(spark, d)
+    rows = log.select("batch_id", F.col("seq").cast("int").alias("ordinal"), "op", "k", "v")
+    half = (head(log) // 200) or 1
+    db.write(rows.where(F.col("batch_id") < half))
+    db.flush()
+    db.write(rows.where(F.col("batch_id") >= half))
+    db.compact_range()
+    return db.scan().select("k", "v", "seq")
 
 
 @query(f"with {FILES} select * from files")
@@ -308,10 +350,25 @@ def overlap_join(spark, d):
 @query(f"""with {FILES}, f as (select *, max(largest) over (order by smallest, file_no rows between unbounded preceding and 1 preceding) reach from files where level > 0),
  g as (select *, sum(case when reach is null or smallest > reach then 1 else 0 end) over (order by smallest, file_no) island from f)
  select cast(island as bigint) island, count(*) files, min(smallest) smallest, max(largest) largest from g group by 1""")
-def l0_closure(spark, d):
+def file_islands(spark, d):
     return files.islands(file_table(spark, d).where("level > 0")).withColumn("island", F.col("island").cast("bigint"))
 
 
+ZERO = f"""{LOG}, zero as (select cast(cast(k as bigint) // 40 as bigint) file_no, min(k) smallest, max(k) largest from log where (cast(k as bigint) // 40) % 5 <> 4 group by 1
+ union all select 1000 + (cast(k as bigint) + 20) // 40, min(k), max(k) from log where ((cast(k as bigint) + 20) // 40) % 5 in (1, 2) group by 1)"""
+
+
+@query(f"""with recursive {ZERO}, c(file_no, smallest, largest) as (select * from zero where file_no = 1 union
+ select z.file_no, z.smallest, z.largest from c join zero z on z.smallest <= c.largest and z.largest >= c.smallest) select file_no, smallest, largest from c""")
+def l0_closure(spark, d):
+    """The level-0 files that hang together with one."""
+    k = F.col("k").cast("bigint")
+    log, agg = events_log(spark, d), [F.min("k").alias("smallest"), F.max("k").alias("largest")]
+    own = log.withColumn("b", F.floor(k / 40)).where("b % 5 <> 4").groupBy(F.col("b").alias("file_no")).agg(*agg)
+    other = log.withColumn("b", F.floor((k + 20) / 40)).where("b % 5 in (1, 2)").groupBy((F.col("b") + 1000).alias("file_no")).agg(*agg)
+    return files.closure(own.unionByName(other).withColumn("level", F.lit(0)), 1).select("file_no", "smallest", "largest")
+
+
 @query(f"""with {FILES}, g as (select level, count(*) files, cast(sum(bytes) as bigint) bytes from files group by 1),
  s as (select *, case when level = 0 then files / 4.0::double else bytes / (10485760.0::double * pow(10, level - 1)) end as score from g)
  select *, row_number() over (order by score desc, level) pick from s""")
@@ -354,8 +411,7 @@ def seek_budget(spark, d):
  coalesce(max(case when level = 2 then 1 end), 0) t from r left join files on largest >= lo and smallest <= hi group by 1, 2)
  select lo, hi, cast(case when z = 1 or o = 1 then 0 when t = 1 then 1 else 2 end as integer) as level from m""")
 def pick_flush_level(spark, d):
-    f = file_table(spark, d)
-    return spark.createDataFrame([(lo, hi, files.flush_level(f, lo, hi)) for lo, hi in (("00000000", "00000010"), ("00000500", "00000600"), ("", "zzz"))], "lo string, hi string, level int")
+    return files.flush_levels(file_table(spark, d), spark.createDataFrame([("00000000", "00000010"), ("00000500", "00000600"), ("", "zzz")], "lo string, hi string"))
 
 
 @query(f"""with {FILES}, s as (select level from (select level, case when level = 0 then count(*) / 4.0 else sum(bytes) / (10485760.0 * pow(10, level - 1)) end as score from files group by 1) order by score desc, level limit 1),
@@ -371,6 +427,22 @@ def pick_compaction(spark, d):
     return part(own, "input").unionByName(part(files.overlapping(f, *r, level + 1), "parent")).unionByName(part(files.overlapping(f, *r, level + 2), "grandparent"))
 
 
+@query(f"""with {FILES}, i as (select * from files where level = 1 order by largest > '{KEY}' desc, smallest limit 1),
+ p as (select f.* from files f, i where f.level = 2 and f.largest >= i.smallest and f.smallest <= i.largest)
+ select 'input' as role, file_no from i union all select 'parent', file_no from p""")
+def pick_after_pointer(spark, d):
+    """The file of level 1 after the pointer, with what it meets in the next levels."""
+    return files.pick(file_table(spark, d), 1, KEY)
+
+
+@query(f"""with {FILES}, i as (select * from files where level = 0), p as (select f.* from files f, (select min(smallest) lo, max(largest) hi from i) where f.level = 1 and largest >= lo and smallest <= hi)
+ select 'input' as role, file_no from i union all select 'parent', file_no from p union all select 'grandparent', file_no from files f,
+ (select min(smallest) lo, max(largest) hi from (select smallest, largest from i union all select smallest, largest from p)) where f.level = 2 and largest >= lo and smallest <= hi""")
+def pick_from_level0(spark, d):
+    """A file of level 0 with all that overlap it, and what they meet."""
+    return files.pick(file_table(spark, d), 0)
+
+
 @query(f"""with {FILES}, e as (select level, file_no, 1 as n from files union all select level, file_no, -1 from files where level = 1)
  select level, file_no from e group by 1, 2 having sum(n) > 0""")
 def manifest_replay(spark, d):
@@ -378,6 +450,15 @@ def manifest_replay(spark, d):
     return files.replay(f.withColumn("action", F.lit("ADD")).unionByName(f.where("level = 1").withColumn("action", F.lit("REMOVE"))))
 
 
+@query(f"with {FILES} select level, file_no, bytes, smallest, largest from files where level <> 1")
+def edit_log(spark, d):
+    """The file table as version edits, written to bytes, read again and replayed: all files come, then those of level 1 go."""
+    rows = file_table(spark, d).collect()  # metadata: a row for each file
+    log = [edits.Edit(new=[(r.level, r.file_no, r.bytes, r.smallest.encode(), r.largest.encode())]) for r in rows] + [edits.Edit(deleted=[(1, r.file_no) for r in rows if r.level == 1])]
+    read = edits.frame(spark, [edits.decode(edits.encode(e)) for e in log])
+    return files.replay(read).join(read.where("action = 'ADD'").drop("version", "action"), ["level", "file_no"]).select("level", "file_no", "bytes", F.col("smallest").cast("string"), F.col("largest").cast("string"))
+
+
 @query(f"with {FILES} select file_no from files where level = 1")
 def obsolete_files(spark, d):
     f = file_table(spark, d).select("level", "file_no")
@@ -399,6 +480,14 @@ def prefix_compression_stats(spark, d):
     return files.prefix_compression(ranked(reads.visible(events_log(spark, d)).select("k"), "k"))
 
 
+@query(f"""with {VIS}, r as (select k, v, row_number() over (order by k) rn from vis), g as (select *, (rn - 1) // 16 grp, lag(k) over (partition by (rn - 1) // 16 order by rn) p from r),
+ h as (select *, coalesce((select max(i) from range(1, 9) t(i) where substr(k, 1, cast(i as integer)) = substr(p, 1, cast(i as integer))), 0) shared, octet_length(encode(v)) n from g),
+ t as (select count(*) entries, count(distinct grp) restarts, cast(sum(2 + case when n < 128 then 1 when n < 16384 then 2 else 3 end + 8 - shared + n) as bigint) buffer from h)
+ select *, buffer + 4 * restarts + 4 estimate from t""")
+def block_size_estimate(spark, d):
+    return files.block_size_estimate(ranked(reads.visible(events_log(spark, d)).select("k", "v"), "k"))
+
+
 # compaction
 
 
@@ -430,6 +519,25 @@ def tombstone_gc(spark, d):
     return compaction.idle_tombstones(events_log(spark, d))
 
 
+@query(f"""with {FILES} select k, seq from log where op = 0 and not exists (select 1 from files f where f.level = 2 and f.file_no % 3 = 1 and log.k between f.smallest and f.largest)""")
+def tombstones_at_base_level(spark, d):
+    """Tombstones whose key no deeper file covers."""
+    return compaction.base_level_tombstones(events_log(spark, d), file_table(spark, d).where("level = 2 and file_no % 3 = 1").select("smallest", "largest"))
+
+
+CUTS = f"""{FILES}, r as (select k, cast(sum(length(k) + length(v) + 9) as bigint) n from log group by 1), c as (select k, coalesce(sum(n) over (order by k rows between unbounded preceding and 1 preceding), 0) cum from r),
+ g as (select *, coalesce((select sum(bytes) from files where level = 2 and largest < k), 0) over_ from c),
+ p(part, cum) as (select cast(0 as bigint), cast(0 as hugeint) union all select p.part + 1, cast(min(c.cum) as hugeint) from p join c on c.cum > p.cum + 65536 group by p.part, p.cum),
+ q(passed, over_) as (select cast(0 as bigint), cast((select min(over_) from g) as hugeint) union all select q.passed + 1, cast(min(g.over_) as hugeint) from q join g on g.over_ > q.over_ + 131072 group by q.passed, q.over_)"""
+
+
+@query(f"""with recursive {CUTS} select k, (select max(part) from p where p.cum <= g.cum) part, (select max(passed) from q where q.over_ <= g.over_) passed from g""")
+def cut_output(spark, d):
+    """Output files by the exact rules: over so many bytes, or over so many bytes of grandparents passed, each counting anew at its cuts."""
+    per = events_log(spark, d).groupBy("k").agg(F.sum(F.length("k").cast("bigint") + F.length("v") + 9).alias("n"))
+    return compaction.cut_outputs(per, F.col("n"), file_table(spark, d).where("level = 2"), 65536, 131072).select("k", "part", "passed")
+
+
 @query(f"""with {FILES}, r as (select k, cast(sum(length(k) + length(v) + 9) as bigint) n from log group by 1), c as (select k, coalesce(sum(n) over (order by k rows between unbounded preceding and 1 preceding), 0) cum from r)
  select k, cast(floor(cum / 65536) as bigint) part, cast(floor(coalesce((select sum(bytes) from files where level = 2 and largest < k), 0) / 131072) as bigint) passed from c""")
 def split_output(spark, d):
@@ -440,22 +548,51 @@ def split_output(spark, d):
 # bloom
 
 
-@query(f"with {VIS} select distinct k from vis where k >= '{LO}'")
+def hash_sql(rows: str, seed: int = coding.FILTER_SEED) -> str:
+    """SQL for (s, h): the 32-bit hash of each text s, of plain letters, in a table."""
+    m, mask = coding.HASH_MULTIPLIER, 0xFFFFFFFF
+    byte = "ascii(substr(s, cast({0} as bigint) + 1, 1))"
+    word = " + ".join(f"{byte.format(f'4 * i + {j}')} * {256**j}" for j in range(4))
+    left = " + ".join(f"case when length(s) % 4 > {j} then {byte.format(f'length(s) - length(s) % 4 + {j}')} * {256**j} else 0 end" for j in range(3))
+    step = f"(((a + w) & {mask}) * {m}::ubigint) & {mask}"
+    return f"""(select s, cast(case when length(s) % 4 = 0 then h else xor(t, t >> 24) end as bigint) h from (select *, ((((h + ({left})) & {mask})::ubigint) * {m}::ubigint) & {mask} t from (select s, list_reduce(list_concat([xor(((length(s)::ubigint) * {m}::ubigint) & {mask}, {seed}::ubigint)],
+ list_transform(range(0, length(s) // 4), lambda i: ({word})::ubigint)), lambda a, w: xor({step}, ({step}) >> 16)) h from {rows})))"""
+
+
+@query(f"with {LOG}, t as (select distinct s from (select k s from log union all select substr(k, 1, 3 + cast(k as bigint) % 5) || 'x' from log union all select p_name from part)) select s, h from {hash_sql('t')}")
+def key_hash(spark, d):
+    """The 32-bit hash of texts of all lengths."""
+    log = events_log(spark, d).select("k")
+    cut = log.select(F.concat(F.substr("k", F.lit(1), (3 + F.col("k").cast("bigint") % 5).cast("int")), F.lit("x")).alias("s"))
+    t = log.select(F.col("k").alias("s")).unionByName(cut).unionByName(table(spark, d, "part").select(F.col("p_name").alias("s"))).distinct()
+    return t.select("s", coding.hash32(F.col("s")).alias("h"))
+
+
+BIT = "(select s, ((h + j * d) & 4294967295) % 10000 bit from (select s, h, ((h >> 17) | ((h << 15) & 4294967295)) d from hashed), range(0, 6) r(j))"
+
+
+@query(f"""with {VIS}, live as (select k from vis where cast(k as bigint) % 2 = 0), probe as (select distinct k s from log where k >= '{LO}'), t as (select s from probe union select k from live),
+ hashed as (select * from {hash_sql('t')}), bits as (select * from {BIT}), on_ as (select distinct bit from bits where s in (select k from live))
+ select s k, s in (select k from live) as live from probe where not exists (select 1 from bits where bits.s = probe.s and bit not in (select bit from on_))""")
 def bloom_may_match(spark, d):
-    """Probes that the filter lets through and the data confirms: equal to an exact semi-join, as no key is ever missed."""
-    live = reads.visible(events_log(spark, d)).select("k")
+    """The probes that a filter of half the live keys lets through, those among them that it has not seen too."""
+    live = reads.visible(events_log(spark, d)).select("k").where(F.col("k").cast("bigint") % 2 == 0)
     probe = events_log(spark, d).select("k").distinct().where(F.col("k") >= LO)
-    return bloom.may_match(probe, "k", bloom.build(live, "k", 1000)).join(live, "k", "left_semi")
+    passed = bloom.may_match(probe, "k", bloom.build(live, "k", 1000))
+    return passed.join(live.withColumn("live", F.lit(True)), "k", "left").select("k", F.coalesce("live", F.lit(False)).alias("live"))
 
 
-@query("select cast(1000 as bigint) keys, cast(0 as bigint) missed, true as within_bound")
+@query(f"""with made as (select 'insert-' || i s from range(1000) r(i)), other as (select 'query-' || i s from range(10000) r(i)), t as (select s from made union all select s from other),
+ hashed as (select * from {hash_sql('t')}), bits as (select * from {BIT}), on_ as (select distinct bit from bits where s like 'insert-%'),
+ f as (select count(*) n from other where not exists (select 1 from bits where bits.s = other.s and bit not in (select bit from on_)))
+ select cast(1000 as bigint) keys, cast(0 as bigint) missed, n as let_through from f""")
 def bloom_fpr(spark, d):
-    """A thousand keys, none missed; of ten thousand others, under 2 % let through."""
+    """A thousand keys, none missed; of ten thousand others, those let through."""
     made = spark.range(1000).select(F.concat(F.lit("insert-"), "id").alias("k"))
     b = bloom.build(made, "k", 1000)
     other = spark.range(10000).select(F.concat(F.lit("query-"), "id").alias("k"))
-    hit = bloom.may_match(made, "k", b).agg(F.count("*").alias("hit"))
-    return bloom.may_match(other, "k", b).agg(F.count("*").alias("false")).join(F.broadcast(hit)).select(F.lit(1000).cast("bigint").alias("keys"), (1000 - F.col("hit")).alias("missed"), (F.col("false") < 200).alias("within_bound"))
+    told = bloom.may_match(made, "k", b).select(F.lit(1).alias("own")).unionByName(bloom.may_match(other, "k", b).select(F.lit(0).alias("own")))
+    return told.agg(F.sum("own").alias("hit"), F.sum(1 - F.col("own")).alias("let_through")).select(F.lit(1000).cast("bigint").alias("keys"), (1000 - F.col("hit")).alias("missed"), "let_through")
 
 
 # scalar functions
@@ -498,11 +635,29 @@ def entry_size(spark, d):
     return events_log(spark, d).select("seq", coding.entry_size(F.col("k"), F.col("v")).alias("size"))
 
 
-@query()
+CRC = """t as (select list(c order by n) t from (select n, list_reduce(list_concat([n::ubigint], range(8)::ubigint[]), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end) c
+ from range(256) r(n)))"""
+BYTES = "list_transform(string_split({0}, ''), lambda c: ascii(c)::ubigint)"
+SEED_BYTES = "[(s & 255)::ubigint, ((s >> 8) & 255)::ubigint, ((s >> 16) & 255)::ubigint, ((s >> 24) & 255)::ubigint]"
+
+
+def crc_sql(listed: str) -> str:
+    """SQL for the CRC-32 of a list of bytes, with the table t."""
+    return f"cast(xor(list_reduce(list_concat([4294967295::ubigint], {listed}), lambda c, b: xor(t.t[cast(xor(c, b) & 255 as bigint) + 1], c >> 8)), 4294967295::ubigint) as bigint)"
+
+
+@query(f"with {LOG}, {CRC} select seq, {crc_sql(BYTES.format('k || v'))} crc from log, t")
 def checksum(spark, d):
     return events_log(spark, d).select("seq", coding.checksum(F.concat("k", "v")).alias("crc"))
 
 
+@query(f"with {LOG}, {CRC} select seq, {crc_sql(f'list_concat({SEED_BYTES}, {BYTES.format("k")})')} crc from (select seq, k, (seq * 2654435761) & 4294967295 s from log), t")
+def checksum_extended(spark, d):
+    """The checksum of a key that goes on from another checksum."""
+    seed = (F.col("seq") * 2654435761).bitwiseAND(F.lit(4294967295))
+    return events_log(spark, d).select("seq", coding.checksum(F.col("k"), seed).alias("crc"))
+
+
 @query("select event_id, (((x >> 15) | ((x << 17) & 4294967295)) + 2726488792) & 4294967295 masked, x as back from (select event_id, (event_id * 2654435761) & 4294967295 x from events)")
 def crc_mask_roundtrip(spark, d):
     x = table(spark, d, "events").select("event_id", (F.col("event_id") * 2654435761).bitwiseAND(F.lit(4294967295)).alias("x"))
@@ -533,3 +688,54 @@ def key_substring(spark, d):
 @query("select doc_id, cast(octet_length(encode(source)) as bigint) key_bytes, cast(octet_length(encode(text)) as bigint) value_bytes, cast(length(text) as bigint) value_chars from documents")
 def key_lengths(spark, d):
     return table(spark, d, "documents").select("doc_id", F.octet_length("source").cast("bigint").alias("key_bytes"), F.octet_length("text").cast("bigint").alias("value_bytes"), F.length("text").cast("bigint").alias("value_chars"))
+
+
+X = "event_id * event_id * event_id * 1000"
+
+
+@query(f"""with n as (select event_id, {X} x from events), g as (select event_id, x, i, (x >> (7 * i)) & 127 b, x >> (7 * (i + 1)) > 0 as more from n, range(0, 9) r(i) where i = 0 or x >> (7 * i) > 0)
+ select event_id, lower(string_agg(lpad(printf('%x', b + case when more then 128 else 0 end), 2, '0'), '' order by i)) bytes, any_value(x) as back, cast(count(*) as bigint) as next from g group by 1""")
+def varint_roundtrip(spark, d):
+    e = table(spark, d, "events").select("event_id", coding.varint(F.expr(X)).alias("b"))
+    told = coding.varint_decode(F.concat(F.lit(b"\x80\x01"), "b", F.lit(b"\xff")), 2)
+    return e.select("event_id", F.lower(F.hex("b")).alias("bytes"), told["value"].alias("back"), (told["next"] - 2).cast("bigint").alias("next"))
+
+
+@query("""select event_id, x as wide, x & 4294967295 narrow from (select event_id, event_id * 1000003 - 5000000 x from events)""")
+def fixed_roundtrip(spark, d):
+    """Little-endian bytes and back, of eight bytes with a sign and of four without."""
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") * 1000003 - 5000000).alias("x"))
+    wide, narrow = F.unhex(coding.fixed_le(F.col("x"))), F.unhex(coding.fixed_le(F.col("x"), 4))
+    return e.select("event_id", coding.fixed_decode(wide).alias("wide"), coding.fixed_decode(narrow, 4).alias("narrow"))
+
+
+@query("select doc_id, source as value, cast(octet_length(encode(source)) + 1 as integer) as next from documents where source is not null")
+def length_prefixed_roundtrip(spark, d):
+    docs = table(spark, d, "documents").where("source is not null")
+    told = coding.length_prefixed_decode(coding.length_prefixed(F.col("source")))
+    return docs.select("doc_id", told["value"].cast("string").alias("value"), told["next"].cast("int").alias("next"))
+
+
+RAISED = """n as (select *, coalesce((select min(i) from range(1, 200) t(i) where i <= least(length(a), length(b)) and substr(a, cast(i as integer), 1) <> substr(b, cast(i as integer), 1)), 0) i from w),
+ s as (select *, case when i > 0 and ascii(substr(a, cast(i as integer), 1)) + 1 < ascii(substr(b, cast(i as integer), 1)) then substr(a, 1, cast(i - 1 as integer)) || chr(ascii(substr(a, cast(i as integer), 1)) + 1) else a end sep from n)"""
+
+
+@query(f"""with w as (select p_partkey, split_part(p_name, ' ', 1) || '-' || p_brand a, split_part(p_name, ' ', 1) || '-' || p_type b from part), {RAISED}
+ select p_partkey, case when length(sep) < length(a) and a < sep then sep else a end as user_key, case when length(sep) < length(a) and a < sep then -255 else p_partkey * 256 + 1 end as tag from s""")
+def internal_separator(spark, d):
+    """The shortened key between two internal keys, with the tag that seeks before all of its versions."""
+    w = F.split_part("p_name", F.lit(" "), F.lit(1))
+    key = lambda other: coding.internal_key(F.concat(w, F.lit("-"), other), F.col("p_partkey"), F.lit(1))
+    got = table(spark, d, "part").select("p_partkey", coding.internal_separator(key("p_brand"), key("p_type")).alias("s"))
+    return got.select("p_partkey", coding.user_key(F.col("s")).cast("string").alias("user_key"), coding.internal_tag(F.col("s")).alias("tag"))
+
+
+@query("select p_partkey, case when length(p_name) > 1 then chr(ascii(substr(p_name, 1, 1)) + 1) else p_name end as user_key, case when length(p_name) > 1 then -255 else p_partkey * 256 end as tag from part")
+def internal_successor(spark, d):
+    got = table(spark, d, "part").select("p_partkey", coding.internal_successor(coding.internal_key(F.col("p_name"), F.col("p_partkey"), F.lit(0))).alias("s"))
+    return got.select("p_partkey", coding.user_key(F.col("s")).cast("string").alias("user_key"), coding.internal_tag(F.col("s")).alias("tag"))
+
+
+@query(f"with {LOG} select seq, case op when 0 then 'deletion' else 'value' end as kind, case seq % 5 when 0 then 'zero' when 1 then 'full' when 2 then 'first' when 3 then 'middle' else 'last' end as record from log")
+def decode_types(spark, d):
+    return events_log(spark, d).select("seq", coding.value_type(F.col("op")).alias("kind"), coding.record_type(F.col("seq") % 5).alias("record"))

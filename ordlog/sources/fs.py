@@ -31,7 +31,12 @@ def create(spark: SparkSession, path: str, text: str) -> None:
 
 
 def read(spark: SparkSession, path: str) -> str:
-    return spark.read.text(path, wholetext=True).first()[0]
+    fs, p = _at(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def remove(spark: SparkSession, path: str) -> None:

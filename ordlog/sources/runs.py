@@ -10,13 +10,18 @@ from ordlog.model import LOG_SCHEMA
 COLUMNS = ("k", "seq", "op", "v")
 
 
+def schema(binary: bool = False) -> str:
+    """The log's schema; binary keys and values are bytes."""
+    return LOG_SCHEMA.replace("string", "binary") if binary else LOG_SCHEMA
+
+
 def write_wal(df: DataFrame, path: str) -> None:
     df.select(*COLUMNS).write.parquet(path)
 
 
-def scan_wal(spark: SparkSession, paths: list[str], from_seq: int | None = None) -> DataFrame:
+def scan_wal(spark: SparkSession, paths: list[str], from_seq: int | None = None, binary: bool = False) -> DataFrame:
     """Rows of the given logs, from a sequence number on."""
-    out = spark.read.schema(LOG_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], LOG_SCHEMA)
+    out = scan(spark, paths, binary)
     return out if from_seq is None else out.where(F.col("seq") >= from_seq)
 
 
@@ -32,5 +37,5 @@ def flush(df: DataFrame, path: str, part: Column | None = None, partitions: int
     (w.partitionBy("part") if part is not None else w).parquet(path)
 
 
-def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.schema(LOG_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], LOG_SCHEMA)
+def scan(spark: SparkSession, paths: list[str], binary: bool = False) -> DataFrame:
+    return spark.read.schema(schema(binary)).parquet(*paths) if paths else spark.createDataFrame([], schema(binary))
