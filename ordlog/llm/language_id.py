@@ -15,14 +15,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ordlog.llm.common import to_python
+from ordlog.llm.common import saved, to_python
 
 #: Hashed n-grams.
 FEATURES = 1 << 14
-#: Documents of each language in the sample that the weights are fitted to, languages at most (the most frequent) and documents of all languages
-#: together, of which each language has an equal part: these bound the sample.
-SAMPLE, LANGUAGES, SAMPLE_ALL = 600, 200, 20_000
+#: Documents of each language in the sample that the weights are fitted to, documents of all languages together, of which each language has an equal
+#: part but one at least, and bytes of their counts: these bound the sample, and no language is left out for its rank.
+SAMPLE, SAMPLE_ALL, SAMPLE_BYTES = 600, 20_000, 256 << 20
+#: Languages up to which a number for each is sent to every task.
+BROADCAST = 65_536
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-3, 1e-4, 3
 UNKNOWN = "und"
 # Odd numbers that spread code points over 32 bits, one for each place in an n-gram.
@@ -84,17 +87,18 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     return int(df[-1]), df[:-1]
 
 
-def sample(labelled: DataFrame, per_language: int, languages: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(language, features, counts) of about `per_language` documents of each language, picked by hash; the order is by hash too."""
-    sizes = labelled.where(F.length("text") > 0).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+def sample(labelled: DataFrame, per_language: int, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, features, counts) of about `per_language` documents of each language, picked by hash; the order is by hash too. Where their counts
+    take over `most_bytes`, the last of each language in that order go, but one of each stays."""
+    sizes = labelled.where(F.length("text") > 0).groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
     if not sizes:
         return []
     per_language = max(1, min(per_language, SAMPLE_ALL // len(sizes)))
     h = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
     share = F.pmod(h, F.lit(1 << 30)) / float(1 << 30)
-    wanted = F.lit(False)
-    for r in sizes:
-        wanted = wanted | (F.col("lang").eqNullSafe(r["lang"]) & (share < min(1.0, per_language / r["n"])))
+    odds = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["n"])) for r in sizes], "lang string, _odds double")
+
+    odds = F.broadcast(odds) if len(sizes) <= BROADCAST else odds
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -103,8 +107,17 @@ def sample(labelled: DataFrame, per_language: int, languages: int) -> list[tuple
             at = [np.flatnonzero(x).astype(np.int32) for x in n]
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(rank, pa.int64()), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([x[a].astype(np.int32).tobytes() for x, a in zip(n, at)], pa.binary())], ["lang", "rank", "at", "n"])
 
-    rows = labelled.where(wanted).select("lang", h.alias("rank"), "text").mapInArrow(count, "lang string, rank bigint, at binary, n binary").orderBy("rank").limit(per_language * len(sizes)).collect()
-    return [(r["lang"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int32)) for r in rows if r["at"]]
+    wanted = labelled.join(odds, "lang").where(share < F.col("_odds"))
+    rows = saved(wanted.select("lang", h.alias("rank"), "text").mapInArrow(count, "lang string, rank bigint, at binary, n binary").where(F.octet_length("at") > 0))
+    # Places and sums over the sample alone, which the odds bound.
+    size = F.octet_length("at").cast("bigint") + F.octet_length("n")
+    own = Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("place", F.count("*").over(own)).withColumn("size", size)
+    total = placed.agg(F.sum("size")).first()[0] or 0
+    part = min(1.0, most_bytes / max(1, total))
+    kept = placed.withColumn("held", F.sum("size").over(own)).withColumn("all", F.sum("size").over(Window.partitionBy("lang")))
+    kept = kept.where((F.col("place") <= 2 * per_language) & ((F.col("held") <= part * F.col("all")) | (F.col("place") == 1)))
+    return [(r["lang"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int32)) for r in kept.orderBy("rank", "lang").select("lang", "at", "n").collect()]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -147,11 +160,11 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], n_docs: int, df: np.ndar
     return Model(languages, idf, w[:-1], w[-1], min(np.geomspace(0.02, 20, 121).tolist(), key=loss) if len(truth) else 1.0)
 
 
-def train(labelled: DataFrame, per_language: int = SAMPLE, languages: int = LANGUAGES) -> Model | None:
+def train(labelled: DataFrame, per_language: int = SAMPLE) -> Model | None:
     """A model from (doc_id, text, lang); None if no row has a language and a letter. Null languages and texts teach nothing."""
     to_python(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    got = sample(rows, per_language, languages)
+    got = sample(rows, per_language)
     return fit(got, *document_frequencies(rows)) if got else None
 
 
@@ -182,14 +195,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score), learned from the documents that are not held out."""
+    """(doc_id, held_out, lang_pred, score), learned from the documents that are not held out.
+
+    Whole texts are read, however long. Null and empty texts and those without a letter are `und` with score 0; repeated rows and null doc_ids are
+    told each; ties go to the first language by name; other columns are ignored. Without a document to learn from all is `und`. An empty
+    table gives no rows.
+    """
     model = train(docs.where(~held_out(F.col("doc_id"))))
     return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents whose language is told with a probability of at least `least`, with all their columns. The decision is made beside the
-    text, so nothing is shuffled."""
+    """The documents whose language is told with a probability of at least `least`, with all their columns, of whatever name. The decision is made
+    beside the text, so nothing is shuffled. Null and empty texts and those without a letter go, unless `least` is 0; repeated rows stay or go
+    each. An empty table gives no rows."""
     model = train(docs.where(~held_out(F.col("doc_id"))))
     to_python(docs.sparkSession)
 

@@ -1,17 +1,21 @@
 """Personal data by candidates and gradient boosting.
 
-Generators with high recall propose spans, which may overlap: the four base kinds, which always stay, and wider ones for credentials and for other
-numbers that name a person or an account. Boosted trees of depth two, with features of a span's form and of the words before it, score the wide
-ones; a kind's threshold is the least calibrated score from which held-out spans were nearly all right. Of overlapping spans the base one stays, then the
-likelier one. The tables have no labels for spans, so the trees learn from what can be checked: a check digit, a value's range, a known form, a
-key word before a value.
+Generators with high recall propose spans, which may overlap: the four base kinds, which always stay, and wider ones for credentials, for other
+numbers that name a person or an account, for written-out mail addresses and for IPv6. Boosted trees of depth two, with features of a span's form
+and of the words before it, score the wide ones; a kind's threshold is the least calibrated score from which held-out spans were nearly all
+right. Of overlapping spans the base one stays, then the likelier one.
+
+The tables have no labels for spans, so the trees learn from texts that are made here, in which it is known what is personal: TEMPLATES with values drawn
+at random, personal ones and others of like form (dates, versions, times, prices, lists, words in place of secrets), between random words. Whole
+templates are held out; they alone set the calibration, the thresholds and the precision and recall that the model tells.
 
 Spans are found, described, scored and chosen by DataFrame functions inside one projection: no row is exploded or shuffled, and no Python runs on
-the executors. Training collects the features of a bounded sample of spans.
+the executors. Training collects the features of the made texts' spans only.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -29,20 +33,21 @@ BASE = {
 _OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: The generators of further spans; a span's kind follows from its form.
 CREDENTIAL = r"(?i)(?:\b(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.=-]{6,}+[\"']?|\b(?:AKIA|ASIA|ghp_|sk-)[A-Za-z0-9]{12,}+)"
-NUMBER = r"(?:\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b|\(?\b[0-9]{2,6}\)?(?:[\x20./-]{1,2}[0-9]{2,8}){1,5}\b)"
-KINDS = ("email", "ip", "card", "phone", "secret", "iban", "ssn", "number")
+NUMBER = r"(?:\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b|\(?\b[0-9]{2,6}\)?(?:[\x20./-]{1,2}[0-9]{2,8}(?![0-9A-Za-z_]))++)"
+FORM = r"(?<![0-9])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4})(?![0-9])"
+MAIL = r"(?i)(?:\G|(?<![a-z0-9._%+-]))[a-z0-9._%+-]++\s{0,2}[\[({]\s?at\s?[\])}]\s{0,2}[a-z0-9-]++(?:\s{0,2}(?:\.|[\[({]\s?dot\s?[\])}])\s{0,2}[a-z0-9-]++)++"
+IPV6 = r"(?i)(?<![0-9a-z_:.])[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){2,7}(?![0-9a-z_:])"
+KINDS = ("email", "ip", "card", "phone", "secret", "iban", "ssn", "number", "mail", "ipv6")
 _WORDS = {
     "secret": r"(?i)(pass|pwd|secret|token|key|login)\W*$", "phone": r"(?i)(phone|call|tel|mobile|fax|sms)\W*$",
     "money": r"(?i)(iban|account|card|bank|visa)\W*$", "person": r"(?i)(ssn|social|security|passport|tax|id)\W*$",
 }
-FEATURES = ("chars", "digits", "letters", "uppers", "seps", "distinct", "luhn", "keyed", "issuer", "iban", "ssn", "phone_like", "date_like", "before_secret", "before_phone", "before_money", "before_person")
-#: Documents whose candidates are looked at, and candidates at most: the bound on what training collects.
-SAMPLE_DOCS, SAMPLE_SPANS = 20_000, 4_000
-TREES, RATE, PRECISION, SEED = 40, 0.3, 0.95, 3
+FEATURES = ("chars", "digits", "letters", "uppers", "seps", "distinct", "luhn", "keyed", "issuer", "iban", "ssn", "phone_like", "date_like", "before_secret", "before_phone", "before_money", "before_person", "groups", "colons", "at", "after_digit")
+TREES, RATE, PRECISION, SEED = 120, 0.3, 0.95, 3
 #: Characters before a span that are looked at, and matches in a chunk.
 BEFORE, CHUNK = 24, 256
-#: Made-up examples that training always sees, so that kinds which a corpus has little of are told too.
-EXAMPLES = 400
+#: Texts made of each template; every HELD-th template is held out.
+EXAMPLES, HELD = 40, 4
 
 
 def let(x: Column, use: Callable[[Column], Column]) -> Column:
@@ -126,20 +131,23 @@ def features(hit: Column, before: Column) -> list[Column]:
         F.length(hit).cast("double"), left("[^0-9]"), left("[^A-Za-z]"), left("[^A-Z]"), left("[A-Za-z0-9]"), F.size(F.array_distinct(F.split(hit, ""))).cast("double"),
         F.when(F.call_function("luhn_check", digits(hit)), 1.0).otherwise(0.0), flag(hit, "[=:]"), flag(hit, "^(AKIA|ASIA|ghp_|sk-)"), flag(hit, r"^[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
         flag(hit, "^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), flag(hit, r"^\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}$"), flag(hit, r"^(19|20)[0-9]{2}[-/.][0-9]{1,2}|[-/.](19|20)[0-9]{2}$"),
-        *[flag(before, p) for p in _WORDS.values()],
+        *[flag(before, p) for p in _WORDS.values()], F.size(F.regexp_extract_all(hit, F.lit("[0-9]+"), F.lit(0))).cast("double"), left("[^:]"), flag(hit, r"(?i)[\[({]\s?at\s?[\])}]"), flag(before, r"[0-9]\W{1,2}$"),
     ]
 
 
 def wide_spans(text: Column) -> Column:
-    """The wide generators' spans with kind and features: (kind, start, end, hit, x)."""
+    """The wide generators' spans with kind, generator and features: (kind, start, end, hit, by, x)."""
 
-    def described(spans: Column) -> Column:
+    def described(by: int, spans: Column, kind: Callable[[Column], Column] = kind_of) -> Column:
         def one(s: Column) -> Column:
-            return F.struct(kind_of(s["hit"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), F.array(*features(s["hit"], s["before"])).alias("x"))
+            return F.struct(kind(s["hit"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), F.lit(by).alias("by"), F.array(*features(s["hit"], s["before"])).alias("x"))
 
         return F.transform(spans, one)
 
-    return F.concat(described(found(text, CREDENTIAL, "[=:]|AKIA|ASIA|ghp_|sk-")), described(found(text, NUMBER, "[0-9]")))
+    return F.concat(
+        described(0, found(text, CREDENTIAL, "[=:]|AKIA|ASIA|ghp_|sk-")), described(1, found(text, NUMBER, "[0-9]")), described(2, found(text, FORM, "[0-9]{3}[^0-9]")),
+        described(3, found(text, MAIL, r"(?i)[\[({]\s?at\s?[\])}]"), lambda _: F.lit("mail")), described(4, found(text, IPV6, "(?i):[0-9a-f]{0,4}:"), lambda _: F.lit("ipv6")),
+    )
 
 
 @dataclass
@@ -151,6 +159,8 @@ class Forest:
     slope: float = 1.0
     shift: float = 0.0
     thresholds: dict[str, float] = field(default_factory=dict)
+    #: (precision, recall) of each kind over the held-out spans.
+    quality: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.prior)
@@ -169,9 +179,10 @@ class Forest:
         return 1 / (1 + F.exp(-(total * self.slope + self.shift)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, kinds: list[str]) -> Forest | None:
-    """Newton boosting on four fifths of the spans; the rest calibrates scores and thresholds. None without both kinds of label."""
-    held = np.arange(len(y)) % 5 == 4
+def fit(x: np.ndarray, y: np.ndarray, kinds: list[str], held: np.ndarray | None = None) -> Forest | None:
+    """Newton boosting on the spans that aren't held out (each fifth is, if not told); the held ones calibrate scores and thresholds. A kind that
+    no held span has takes its threshold from all. None without both kinds of label."""
+    held = np.arange(len(y)) % 5 == 4 if held is None else held
     a, b = x[~held], y[~held]
     if not len(b) or b.min() == b.max():
         return None
@@ -199,50 +210,68 @@ def fit(x: np.ndarray, y: np.ndarray, kinds: list[str]) -> Forest | None:
 
         out.slope, out.shift = min(((k, s) for k in np.linspace(0.25, 3, 12) for s in np.linspace(-1.5, 1.5, 13)), key=lambda v: loss(*v))
     names, p = np.array(kinds), out.probability(x)
-    for kind in set(kinds):
-        own = names == kind
+    for kind in sorted(set(kinds)):
+        own = (names == kind) & held if ((names == kind) & held & (y == 1)).any() else names == kind
         for t in np.unique(p[own]):
             if t >= 0.5 and y[own & (p >= t)].mean() >= PRECISION:
                 out.thresholds[kind] = float(t) * (1 - 1e-9)
+                out.quality[kind] = float(y[own & (p >= t)].mean()), float(y[own & (p >= t)].sum() / max(1, y[own].sum()))
                 break
     return out
 
 
-def checkable(kind: Column, x: Column) -> Column:
-    """What a wide span's form proves, as the label to learn: a value after a key word or of a known issuer with letters and digits, an account number's
-    form, a number that a word before it names. Dates and loose numbers are not personal."""
-    v = dict(zip(FEATURES, (F.get(x, F.lit(i)) for i in range(len(FEATURES)))))
-    named = (v["before_phone"] + v["before_money"] + v["before_person"]) > 0
-    return (
-        F.when(kind == "secret", ((v["keyed"] > 0) | (v["issuer"] > 0)) & (v["digits"] >= 2) & (v["chars"] >= 12) & (v["distinct"] >= 7)).when(kind == "iban", (v["iban"] > 0) & (v["digits"] >= 10))
-        .when(kind.isin("ssn", "phone"), (v["date_like"] == 0) & (v["digits"] >= 9)).otherwise(named & (v["digits"] >= 8) & (v["date_like"] == 0))
-    ).cast("int")
-
-
-def examples(n: int = EXAMPLES) -> list[str]:
-    """Made-up texts with one span each, personal and not, in turn."""
-    rnd = np.random.default_rng(SEED)
+def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, int, int, bool, int]]:
+    """(text, start, end, personal, template): n texts of each template, each with one value between random words."""
+    rnd = np.random.default_rng(seed)
     pick = lambda chars, k: "".join(rnd.choice(list(chars), k))
+    one = lambda *xs: xs[int(rnd.integers(len(xs)))]
     num, hexa, word = (lambda k: pick("0123456789", k)), (lambda k: pick("0123456789abcdef", k)), (lambda k: pick("abcdeilnorst", k))
-    big = lambda k: pick("ABCDEFGHJKLMNPQRSTUVWXYZ234567", k)
-    kinds = [
-        lambda: f"password={hexa(18)}", lambda: f'token = "{hexa(40)}"', lambda: f"AKIA{big(16)}", lambda: f"api_key: {hexa(24)}", lambda: f"secret={word(6)}{num(4)}{word(5)}",
-        lambda: f"call {num(3)}-{num(3)}-{num(4)}", lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"ssn {num(3)}-{num(2)}-{num(4)}", lambda: f"iban DE{num(2)} {num(4)} {num(4)} {num(4)} {num(4)} {num(2)}", lambda: f"account {num(4)} {num(6)}",
-        lambda: f"password={word(8)}", lambda: f"token: {pick('ab', 8)}", lambda: f"secret = {word(12)}", lambda: f"key=sk-{word(14)}", lambda: f"in {num(2)}-{num(2)}", lambda: f"on 20{num(2)}-0{num(1)}-1{num(1)}",
-        lambda: f"from 19{num(2)}-20{num(2)}", lambda: f"version {num(2)}.{num(2)}.{num(3)}", lambda: f"{num(3)}.{num(3)}.{num(3)}.{num(3)}", lambda: f"{num(4)} {num(4)} {num(4)}",
+    big, mixed = (lambda k: pick("ABCDEFGHJKLMNPQRSTUVWXYZ234567", k)), (lambda k: pick("abcdefghijkmnpqrstuvwxyzABCDEFGHKLMNPQRSTUVWXYZ23456789", k))
+    less = lambda k, top: f"{int(rnd.integers(1, top)):0{k}d}"
+    year = lambda: str(int(rnd.integers(1900, 2040)))
+    any_ = lambda lo, hi: int(rnd.integers(lo, hi))
+    sign, quote = (lambda: one("=", ": ", " = ", ":")), (lambda v: one(v, f'"{v}"', f"'{v}'"))
+    # (words before, value, whether it is personal). Neighbours are alike, so that what is held out has relatives among the others.
+    templates = [
+        lambda: ("", f"{one('password', 'passwd', 'pwd')}{sign()}{quote(hexa(any_(12, 24)))}", True), lambda: ("", f"{one('password', 'pwd')}{sign()}{quote(mixed(any_(12, 20)))}", True), lambda: ("", f"token{sign()}{quote(hexa(40))}", True), lambda: ("", f"{one('token', 'access_token')}{sign()}{quote(mixed(any_(24, 60)))}", True),
+        lambda: ("", f"{one('api_key', 'apikey', 'api-key')}{sign()}{quote(hexa(any_(20, 33)))}", True), lambda: ("", f"secret{sign()}{quote(word(6) + num(4) + word(5))}", True), lambda: ("", f"{one('AKIA', 'ASIA')}{big(16)}", True), lambda: ("", f"{one('ghp_', 'sk-')}{mixed(any_(30, 40))}", True),
+        lambda: ("", f"{one('password', 'pwd')}{sign()}{quote(word(any_(6, 11)))}", False), lambda: ("", f"{one('secret', 'token')}{sign()}{quote(word(any_(8, 14)))}", False), lambda: ("", f"token{sign()}{pick('ab', any_(6, 12))}", False), lambda: ("", f"{one('pass', 'token')}{sign()}{one('required', 'optional', 'missing', 'expired', 'your-password-here', 'changeme')}", False),
+        lambda: (one("call ", "tel ", "phone: "), f"{num(3)}-{num(3)}-{num(4)}", True), lambda: (one("", "fax "), f"({num(3)}) {num(3)}-{num(4)}", True), lambda: (one("", "mobile "), f"{num(3)}.{num(3)}.{num(4)}", True), lambda: (one("call ", "sms "), f"{num(3)} {num(3)} {num(4)}", True),
+        lambda: (one("ssn ", "social security "), f"{num(3)}-{num(2)}-{num(4)}", True), lambda: ("", f"{num(3)}-{num(2)}-{num(4)}", True), lambda: (one("tax id ", "id: "), f"{num(3)}-{num(2)}-{num(4)}", True), lambda: (one("", "ssn: "), f"{num(3)}-{num(2)}-{num(4)}", True),
+        lambda: (one("iban ", "IBAN: "), f"{one('DE', 'GB', 'AT')}{num(2)} {num(4)} {num(4)} {num(4)} {num(4)} {num(2)}", True), lambda: ("", f"{one('DE', 'ES')}{num(20)}", True), lambda: (one("account ", ""), f"{one('FR', 'NL')}{num(2)} {num(4)} {num(4)} {num(4)} {num(2)}", True), lambda: ("", f"{one('IT', 'DE')}{num(2)} {num(4)} {num(4)} {num(4)} {num(4)}", True),
+        lambda: (one("account ", "bank account: "), f"{num(4)} {num(6)}", True), lambda: (one("passport ", "tax id "), f"{num(3)} {num(3)} {num(3)}", True), lambda: (one("account no ", "card "), f"{num(4)}-{num(4)}-{num(2)}", True), lambda: (one("passport ", "ssn "), f"{num(2)} {num(7)}", True),
+        lambda: (one("", "on "), f"{year()}-{less(2, 13)}-{less(2, 29)}", False), lambda: (one("", "in ", "of "), f"{less(2, 29)}.{less(2, 13)}.{year()}", False), lambda: ("", f"{less(2, 13)}/{less(2, 29)}/{year()}", False), lambda: (one("from ", ""), f"{year()}-{year()}", False),
+        lambda: (one("version ", "v", ""), f"{num(2)}.{num(2)}.{num(3)}", False), lambda: ("", f"{less(3, 999)}.{num(3)}.{num(3)}", False), lambda: (one("pages ", "in "), f"{num(2)}-{num(2)}", False), lambda: (one("release ", ""), f"{num(2)}.{num(2)}.{num(2)}", False),
+        lambda: ("", " ".join(num(any_(2, 5)) for _ in range(any_(3, 12))), False), lambda: (one("", "rows "), " ".join(num(3) for _ in range(any_(3, 9))), False), lambda: ("", "-".join(num(any_(2, 5)) for _ in range(any_(3, 9))), False), lambda: (one("", "sums "), " ".join(num(any_(3, 5)) for _ in range(any_(4, 12))), False),
+        lambda: ("", f"{num(4)} {num(4)} {num(4)}", False), lambda: (one("", "score "), f"{num(2)}-{num(2)} {num(2)}-{num(2)}", False), lambda: ("", f"{num(3)} {num(3)}", False), lambda: ("", "/".join(num(2) for _ in range(any_(2, 5))), False),
+        lambda: ("", f"{word(6)} (at) {word(7)} (dot) com", True), lambda: ("", f"{word(4)}.{word(5)} [at] {word(6)}.org", True), lambda: ("", f"{word(5)}{num(2)}(at){word(8)}.net", True), lambda: ("", f"{word(5)} {{at}} {word(6)} {{dot}} de", True),
+        lambda: ("", ":".join(hexa(4) for _ in range(8)), True), lambda: (one("", "from "), f"2001:db8::{hexa(any_(1, 5))}:{hexa(4)}", True), lambda: ("", f"fe80::{hexa(4)}:{hexa(4)}:{hexa(4)}:{hexa(4)}", True), lambda: ("", f"2a0{num(1)}:{hexa(4)}:{hexa(3)}::{hexa(1)}", True),
+        lambda: (one("at ", ""), f"{less(2, 24)}:{less(2, 60)}:{less(2, 60)}", False), lambda: ("", f"{less(1, 10)}:{less(2, 60)}:{less(2, 60)}", False), lambda: ("", f"{num(1)}:{num(1)}:{num(1)}", False), lambda: (one("", "at "), f"{less(2, 24)}:{less(2, 60)}:{less(2, 60)}", False),
     ]
-    return [f"{word(5)} {word(3)} {kinds[i % len(kinds)]()} {word(6)}" for i in range(n)]
+    out = []
+    for t, make in enumerate(templates):
+        for _ in range(n):
+            before, value, personal = make()
+            lead = " ".join(word(any_(2, 8)) for _ in range(any_(1, 5))) + " " + before
+            out.append((f"{lead}{value}{one(' ', ', ', '. ', '; ')}{word(6)}", len(lead), len(lead) + len(value), personal, t))
+    return out
+
+
+def labelled(session, made: list[tuple[str, int, int, bool, int]]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """(features, labels, kinds, templates) of the wide spans in made texts; a span that meets a personal value is personal."""
+    text = json.dumps([{"text": t, "lo": lo, "hi": hi, "y": y, "template": k} for t, lo, hi, y, k in made])
+    rows = session.range(1).select(F.explode(F.from_json(F.lit(text), "array<struct<text:string,lo:int,hi:int,y:boolean,template:int>>")).alias("r")).select("r.*")
+    spans = rows.select("*", F.explode(wide_spans(F.col("text"))).alias("s"))
+    meets = F.col("y") & (F.col("s.start") < F.col("hi")) & (F.col("s.end") > F.col("lo"))
+    got = spans.select("template", "s.kind", "s.x", meets.cast("int").alias("y"), "text", "s.start", "s.by").collect()  # of the made texts alone
+    got.sort(key=lambda r: (r["template"], r["text"], r["by"], r["start"]))
+    return np.array([r["x"] for r in got], float), np.array([r["y"] for r in got], float), [r["kind"] for r in got], np.array([r["template"] for r in got])
 
 
 def train(docs: DataFrame) -> Forest | None:
-    """Trees from about SAMPLE_DOCS documents, picked by hash of the text, and the made-up examples; SAMPLE_SPANS spans of each label at most."""
-    n = docs.count()
-    text = docs.where("text is not null").where(F.pmod(F.xxhash64("text", F.lit("pii")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_DOCS / max(1, n)))).select("text")
-    text = text.unionByName(docs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, examples()))).alias("text")))
-    spans = text.select(F.explode(wide_spans(F.col("text"))).alias("s")).select("s.kind", "s.x", checkable(F.col("s.kind"), F.col("s.x")).alias("y"), F.xxhash64("s.hit").alias("h"))
-    rows = [r for y in (0, 1) for r in spans.where(F.col("y") == y).orderBy("h", "kind").limit(SAMPLE_SPANS).collect()]
-    rows.sort(key=lambda r: (r["h"], r["kind"]))
-    return fit(np.array([r["x"] for r in rows], float), np.array([r["y"] for r in rows], float), [r["kind"] for r in rows]) if rows else None
+    """Trees from the made texts. No row of docs is read: they have no labels for spans."""
+    x, y, kinds, template = labelled(docs.sparkSession, examples())
+    return fit(x, y, kinds, template % HELD == HELD - 1)
 
 
 def of_kind(kind: str) -> Callable[[Column], Column]:
@@ -269,10 +298,10 @@ def spans(docs: DataFrame, model: Forest | None) -> DataFrame:
             out = F.when(kind == k, t).otherwise(out)
         return out
 
-    scored = F.transform("_wide", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), model.column(s["x"]).alias("p")))
+    scored = F.transform("_wide", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), s["by"].alias("by"), model.column(s["x"]).alias("p")))
     likely = F.filter(scored, lambda s: s["p"] >= limit(s["kind"]))
     out = out.withColumn("_wide", without_beaten(likely, F.col("_base"), meets))
-    better = lambda a, b: meets(a, b) & ((a["p"] > b["p"]) | (a["p"] == b["p"]) & ((a["start"] < b["start"]) | (a["start"] == b["start"]) & (a["end"] > b["end"])))
+    better = lambda a, b: meets(a, b) & ((a["p"] > b["p"]) | (a["p"] == b["p"]) & ((a["start"] < b["start"]) | (a["start"] == b["start"]) & ((a["end"] > b["end"]) | (a["end"] == b["end"]) & (a["by"] < b["by"]))))
     best = without_beaten(F.col("_wide"), F.col("_wide"), better)
     own = F.transform(best, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), F.lit(False).alias("base")))
     every = F.concat("_base", own)
@@ -298,7 +327,8 @@ def redact(docs: DataFrame, model: Forest | None) -> DataFrame:
 def digest(docs: DataFrame, model: Forest | None) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): counts and places of the spans, base ones hashed.
 
-    Null and empty texts have none; repeated rows and null doc_ids are reported each; other columns are ignored; an empty table gives no rows.
+    Null and empty texts have none; very long ones are read whole; repeated rows and null doc_ids are reported each; other columns are ignored; an
+    empty table gives no rows.
     """
     said = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     got = spans(docs.select("doc_id", "text"), model).select("doc_id", "pii")

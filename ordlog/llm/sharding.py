@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ordlog.llm.common import free
+
 #: A prime; the table's rows, and so the bound on what is broadcast.
 SLOTS = 65_537
 
@@ -40,7 +42,12 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 
 def assign(df: DataFrame, key: str, shards: Sequence[str], slots: int = SLOTS) -> DataFrame:
-    """Adds slot and shard to every row. Equal keys go together; null keys have the slot of the hash's seed. Columns of these names are
-    replaced. An empty table gives no rows. One broadcast join of `slots` rows, no shuffle."""
-    names = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(lookup_table(shards, slots))], "slot int, shard string")
-    return df.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(names), "slot").select(*[c for c in df.columns if c not in ("slot", "shard")], "slot", "shard")
+    """Adds slot and shard to every row. Equal keys go together; null keys have the slot of the hash's seed; keys are hashed as text, whole and whatever
+    their length. Repeated rows stay. A column of either name, in any case, is replaced, also where it is the key itself; other columns
+    stay. An empty table gives no rows. One broadcast join of `slots` rows, no shuffle."""
+    names = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(lookup_table(shards, slots))], "_slot int, _shard string")
+    at = free(df, "_at")
+    kept = [c for c in df.columns if c.lower() not in ("slot", "shard")]
+    placed = df.withColumn(at, slot_of(F.col(key), slots)).select(*kept, at)
+    names = names.select(F.col("_slot").alias(at), F.col("_shard").alias("shard"))
+    return placed.join(F.broadcast(names), at).select(*kept, F.col(at).alias("slot"), "shard")

@@ -3,6 +3,9 @@
 A rule names a host, with all its subdomains, and the start of a path; the longest that fits a URL decides. URLs that redirect to one another or
 name one another as canonical are aliases: connected components over those links carry a block to all aliases that have no rule of their own, unless
 an alias is explicitly allowed. DataFrame functions only; pages' HTML is read once and only links go on.
+
+Up to LITERAL rules are part of the plan, so that no row moves. More rules, or a table of them of any size, are joined: each distinct host and path
+meets the rules of its host's suffixes by the starts of its path that are as long as a rule of that host, so no URL is held against all rules.
 """
 
 from __future__ import annotations
@@ -18,8 +21,8 @@ from ordlog.llm.components import components
 #: (verdict, host, path): the host and its subdomains, the start of the path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rules are part of the plan; beyond so many, give them by host in several calls.
-MOST_RULES = 5000
+#: Rules that are part of the plan, at most; a longer list is a table.
+LITERAL = 64
 
 
 def host_of(url: Column) -> Column:
@@ -32,8 +35,6 @@ def path_of(url: Column) -> Column:
 
 def ruled(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     """The longest rule that fits, as a struct (verdict, rule), or null; of two equally long the one with the longer host."""
-    if len(rules) > MOST_RULES:
-        raise ValueError("too many rules")
     order = sorted(rules, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r))
     if not order:
         return F.lit(None).cast("struct<verdict:string,rule:string>")
@@ -43,6 +44,25 @@ def ruled(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) ->
     return F.when(first.isNotNull(), F.struct(first["verdict"].alias("verdict"), F.concat(first["host"], first["path"]).alias("rule")))
 
 
+def with_rules(df: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, host: str, path: str, out: str) -> DataFrame:
+    """Adds `ruled` of the columns host and path. A table of rules has verdict, host and path."""
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= LITERAL:
+            return df.withColumn(out, ruled(F.col(host), F.col(path), rules))
+        rules = df.sparkSession.createDataFrame(list(rules), "verdict string, host string, path string")
+    rules = saved(rules.select("verdict", F.col("host").alias("_rh"), F.col("path").alias("_rp")).where("_rh is not null and _rp is not null").distinct())
+    sizes = rules.groupBy("_rh").agg(F.collect_set(F.length("_rp")).alias("_sizes"))  # one for each length of a path, not for each rule
+    urls = df.select(F.col(host).alias("_h"), F.col(path).alias("_p")).distinct()
+    parts = F.split("_h", r"\.", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    met = urls.select("*", F.explode(F.array_distinct(suffixes)).alias("_rh")).join(sizes, "_rh").select("_h", "_p", "_rh", F.explode("_sizes").alias("_n"))
+    met = met.where(F.col("_n") <= F.length("_p")).withColumn("_rp", F.left("_p", F.col("_n"))).join(rules, ["_rh", "_rp"])
+    order = F.struct(-F.length(F.concat("_rh", "_rp")), -F.length("_rh"), "verdict", "_rh", "_rp")
+    best = met.groupBy("_h", "_p").agg(F.min_by(F.struct("verdict", F.concat("_rh", "_rp").alias("rule")), order).alias(out))
+    best = saved(best)
+    return df.join(best, (F.col(host) == F.col("_h")) & (F.col(path) == F.col("_p")), "left").drop("_h", "_p")
+
+
 def node_of(url: Column) -> Column:
     """A URL without its fragment, which names a place in the same page; scheme and host count in any case."""
     bare = F.regexp_replace(url, "(?s)#.*$", "")
@@ -90,24 +110,25 @@ def links(pages: DataFrame) -> DataFrame:
     return got.select(node_of(F.col("url")).alias("a"), node_of(absolute(F.col("url"), F.col("to"))).alias("b")).where("b is not null and a != b")
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
-    """(page_id, host, path, rule, verdict) of every page. redirects: more links, from_url and to_url.
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame = RULES, redirects: DataFrame | None = None) -> DataFrame:
+    """(page_id, host, path, rule, verdict) of every page. rules: (verdict, host, path), or a table of these. redirects: more links, from_url and to_url.
 
-    A page with a rule has its verdict. Another has allow if an alias is explicitly allowed, else block if one is blocked, else allow. Null URLs
-    and those without :// have an empty host and path, no rule and no alias: allow. Repeated rows are judged each; null page_ids and null HTML
-    are fine; other columns are ignored. An empty table gives no rows.
+    A page with a rule has its verdict; of rules of equal length the one with the longer host, then allow. Another page has allow if an alias is
+    explicitly allowed, else block if one is blocked, else allow. Null URLs and those without :// have an empty host and path, no rule and
+    no alias: allow. Repeated rows are judged each; null page_ids, null and very long HTML are fine; other columns are ignored. An empty table
+    gives no rows; without rules all is allowed.
     """
     edges = links(pages)
     if redirects is not None:
         more = redirects.select(node_of(F.col("from_url")).alias("a"), node_of(F.col("to_url")).alias("b"))
         edges = edges.unionByName(more.where("a is not null and b is not null and a != b"))
-    roots = components(edges)
-    verdict = ruled(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"]
-    flags = roots.groupBy("root").agg(F.coalesce(F.bool_or(verdict == "allow"), F.lit(False)).alias("_allow"), F.coalesce(F.bool_or(verdict == "block"), F.lit(False)).alias("_block"))
-    aliases = saved(roots.join(flags, "root").where(F.col("_block") & ~F.col("_allow")).select(F.col("node").alias("_node")))
+    roots = components(edges).select("node", "root", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path"))
+    verdict = F.col("_r.verdict")
+    flags = with_rules(roots, rules, "host", "path", "_r").groupBy("root").agg(F.coalesce(F.bool_or(verdict == "allow"), F.lit(False)).alias("_allow"), F.coalesce(F.bool_or(verdict == "block"), F.lit(False)).alias("_block"))
+    blocked = saved(flags.where(F.col("_block") & ~F.col("_allow")).select("root"))
+    aliases = saved(roots.join(blocked, "root", "left_semi").select(F.col("node").alias("_node")))
     own = pages.select("page_id", node_of(F.col("url")).alias("_node"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    own = own.withColumn("_r", ruled(F.col("host"), F.col("path"), rules))
-    out = own.join(aliases.withColumn("_hit", F.lit(True)), "_node", "left")
+    out = with_rules(own, rules, "host", "path", "_r").join(aliases.withColumn("_hit", F.lit(True)), "_node", "left")
     return out.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.coalesce(F.col("_r.verdict"), F.when(F.col("_hit"), "block"), F.lit("allow")).alias("verdict"))
 
 

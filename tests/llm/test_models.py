@@ -27,6 +27,47 @@ def test_weights_are_sparse_and_the_temperature_calibrates(spark):
     assert (m.weights == 0).mean() > 0.3 and m.languages == ["de", "en", "es", "fr"] and 0.02 <= m.temperature <= 20
 
 
+def plain_prediction(model, text):
+    """The likeliest language and its probability, n-gram by n-gram."""
+    spread = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    codes = [32 if ord(c) <= 32 or ord(c) == 160 or "0" <= c <= "9" else ord(c) for c in f" {text.lower()} "]
+    n = {}
+    for size in (1, 2, 3):
+        for i in range(len(codes) - size + 1):
+            h = 0
+            for k in range(size):
+                h ^= codes[i + k] * spread[k] & 0xFFFFFFFF
+            h = ((h ^ h >> 15) * spread[1] & 0xFFFFFFFF) >> 18
+            n[h] = n.get(h, 0) + 1
+    x = {h: c**0.5 * model.idf[h] for h, c in n.items()}
+    norm = sum(v * v for v in x.values()) ** 0.5
+    z = [(sum(v * model.weights[h][j] for h, v in x.items()) / norm + model.bias[j]) / model.temperature for j in range(len(model.languages))]
+    e = [np.exp(v - max(z)) for v in z]
+    best = max(range(len(z)), key=lambda j: (z[j], -j))
+    return model.languages[best], e[best] / sum(e)
+
+
+def test_predictions_against_a_plain_version(spark):
+    df = table(spark, SF, "documents")
+    model = language_id.train(df.where(~language_id.held_out(F.col("doc_id"))))
+    want = {r.doc_id: plain_prediction(model, r.text) for r in df.collect() if len(r.text or "") < 2000}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(df).collect()}
+    assert len(want) > 700 and all(got[i][0] == lang and abs(got[i][1] - p) < 1e-9 for i, (lang, p) in want.items())
+
+
+def test_every_language_is_learned_within_the_bounds(spark, docs):
+    """More languages than documents of each, one of them rare, and a bound on bytes."""
+    rnd = np.random.default_rng(3)
+    rows = [(k * 1000 + i, " ".join("".join(rnd.choice(list(f"{chr(97 + k % 20)}{chr(0x4E00 + k)}{chr(0x4F00 + k)}x"), 5)) for _ in range(30)), f"l{k:03d}") for k in range(230) for i in range(3)]
+    labelled = docs(*rows, (10**6, "rare words that are here once", "zz"))
+    m = language_id.train(labelled)
+    assert len(m.languages) == 231 and "zz" in m.languages
+    few = language_id.sample(labelled, 600, 50_000)
+    assert {r[0] for r in few} == set(m.languages) and len(few) < len(language_id.sample(labelled, 600))
+
+
 def test_odd_texts(spark, docs):
     rows = [(1, "the cat and the dog " * 9, "en"), (2, "le chat et le chien " * 9, "fr"), (3, None, "en"), (4, "", None), (5, "123 4!", "en"), (None, "the dog", None), (7, "the " * 50000, None), (1, "the cat and the dog " * 9, "en")]
     got = language_id.identify(docs(*rows)).collect()

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -156,5 +157,23 @@ def test_shards_are_even_and_stable(spark, docs):
     rows = sharding.assign(docs((1, "x"), (1, "y"), (None, None), (2, "")), "doc_id", names).collect()
     assert len(rows) == 4 and len({r.shard for r in rows if r.doc_id == 1}) == 1 and all(r.shard in names for r in rows)
     assert sharding.assign(docs((1, "x")).limit(0), "doc_id", names).collect() == []
+    clash = spark.createDataFrame([("mine", "a", 5), ("mine", "b", 6)], "Slot string, SHARD string, _at int")
+    out = sharding.assign(clash, "SHARD", names)
+    assert out.columns == ["_at", "slot", "shard"] and {r["_at"]: r.slot for r in out.collect()} == {i: plain_slot(k) for k, i in (("a", 5), ("b", 6))}
+
+
+def plain_slot(key):
+    h = xxhash.xxh64_intdigest(key.encode(), 42)
+    return (h - (1 << 64) if h >> 63 else h) % sharding.SLOTS
+
+
+def test_slots_of_the_whole_table(spark):
+    """Every row's slot by the hash itself, and its shard by the table; shares are as equal as the slots allow."""
+    names = [f"shard-{i:03d}" for i in range(128)]
+    owner = sharding.lookup_table(names)
+    df = table(spark, SF, "documents")
+    got = sharding.assign(df.select("doc_id"), "doc_id", names).collect()
+    assert len(got) == df.count() and all(r.slot == plain_slot(str(r.doc_id)) and r.shard == names[owner[r.slot]] for r in got)
+    assert max(owner.count(i) for i in range(128)) - min(owner.count(i) for i in range(128)) <= 1
     with pytest.raises(ValueError):
         sharding.lookup_table(["a", "a"])
