@@ -11,8 +11,8 @@ and no link is lost. Components of the forest are the classes.
 Texts that share a part SIMILAR of their shingles differ in up to 14 bits of the shingles' fingerprint, too many for tables that all pairs meet in.
 `similar` therefore covers fingerprints of single words, which such texts share nearly all of and where they differ in few bits; there are VIEWS of
 them by unlike hashes, so that a pair which one places beyond the radius has another chance. What meets in a bucket is held against the
-shingles' fingerprint there and then; the bucket yields a spanning forest of the nearest, and each of its links is verified by the exact
-similarity of the two texts' sets of shingles.
+shingles' fingerprint there and then. A bucket yields its near pairs where they are few for each text, else a spanning forest of the nearest. These
+links are held against a wide fingerprint of the shingles, and each that is left is verified by the exact similarity of the two texts' sets.
 """
 
 from __future__ import annotations
@@ -34,8 +34,11 @@ WORDS, RADIUS, BLOCK, SEED = 4, 4, 4096, 42
 BITS = 64
 #: For `similar`: words in a shingle, the least part of two texts' shingles that they share, and fingerprints of a text's words.
 SHINGLE, SIMILAR, VIEWS = 5, 0.8, 2
-#: Buckets up to which all pairs are looked at together, and near pairs for each of a bucket's texts up to which they are listed.
-SMALL, DENSE = 64, 64
+#: Numbers of 64 bits in the wide fingerprint of a text's shingles.
+WIDE = 4
+#: Buckets up to which all pairs are looked at together; near pairs for each of a bucket's texts up to which they are listed, and up to which all of them
+#: go on as links; beyond it a spanning forest of the nearest does.
+SMALL, DENSE, FEW = 64, 64, 2
 #: One of so many texts is counted to tell large buckets beforehand; what is found doesn't depend on it.
 COUNTED = 16
 #: Rows that a task looks through together, besides those of a group that isn't whole yet.
@@ -187,6 +190,14 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([digest(w, SEED) for w in words]), np.uint64).reshape(-1, VIEWS)
 
 
+def mixed(h: np.ndarray, n: int) -> np.ndarray:
+    """n numbers of 64 bits for each hash, as rows."""
+    out = h[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        out = (out ^ out >> np.uint64(shift)) * np.uint64(odd)
+    return out ^ out >> np.uint64(31)
+
+
 def shingles(text: str | None, words: int = SHINGLE) -> np.ndarray:
     """The distinct hashes of a text's word shingles, sorted; of the whole sequence of words where there are fewer, none without a word. A shingle's hash
     is made of its words' hashes in order."""
@@ -210,11 +221,11 @@ def word_fingerprints(text: str | None) -> np.ndarray:
     return majority(word_hashes(w)) if w else np.zeros(VIEWS, np.uint64)
 
 
-def most_apart(similarity: float) -> int:
-    """Differing bits of shingles' fingerprints up to which sets of this similarity stay with odds of 99 in 100. Their cosine is at least
+def most_apart(similarity: float, bits: int = BITS) -> int:
+    """Differing bits of shingles' fingerprints up to which sets of this similarity stay with odds of over 99 in 100. Their cosine is at least
     2 s / (1 + s), and a bit differs with the part of a half turn that the angle is."""
     p = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
-    return int(np.ceil(BITS * p + 2.6 * np.sqrt(BITS * p * (1 - p))))
+    return int(np.ceil(bits * p + 2.6 * np.sqrt(bits * p * (1 - p))))
 
 
 def spanning(fp: np.ndarray, wide: np.ndarray, radius: int, apart: int) -> Iterator[tuple[int, int]]:
@@ -249,7 +260,10 @@ def near_pairs(fp: np.ndarray, wide: np.ndarray, radius: int, apart: int) -> np.
 
 
 def joined(pairs: np.ndarray) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the pairs (bits apart, a, b), the nearest first."""
+    """A spanning forest of the pairs (bits apart, a, b), the nearest first; all of them where they are FEW for each place."""
+    if len(pairs) <= FEW * len(np.unique(pairs[:, 1:])):
+        yield from map(tuple, pairs[:, 1:].tolist())
+        return
     parent: dict[int, int] = {}
     for _, a, b in sorted(map(tuple, pairs.tolist())):
         x, y = a, b
@@ -263,7 +277,7 @@ def joined(pairs: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def candidates(nodes: DataFrame, radius: int, apart: int, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that join, bucket by bucket, the nodes of which a view v0, v1, ... of the words is within the radius and whose shingles'
+    """(a, b): near pairs or links that join them, bucket by bucket, of the nodes of which a view v0, v1, ... of the words is within the radius and whose shingles'
     fingerprints s are at most `apart`. nodes: a saved table with a column node.
 
     Rows are shuffled once, to their buckets. Large buckets are told beforehand by a count of one node of COUNTED, and are cut into blocks, each two
@@ -299,8 +313,11 @@ def candidates(nodes: DataFrame, radius: int, apart: int, block: int = BLOCK) ->
             a = at[np.bitwise_count(fp[at] ^ fp[at + off]) <= radius]
             d = np.bitwise_count(wide[a] ^ wide[a + off]).astype(np.int64)
             found.append(np.stack([d, a, a + off], 1)[d <= apart])
-        forest = joined(np.concatenate(found)) if found else iter(())
-        yield from ((node[a], node[b]) for a, b in forest)
+        pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+        group = np.repeat(np.arange(len(size)), size)[pairs[:, 1]] if len(pairs) else np.zeros(0, np.int64)
+        many = (np.bincount(group, minlength=len(size)) > FEW * size)[group] if len(pairs) else np.zeros(0, bool)
+        yield from zip(node[pairs[~many, 1]].tolist(), node[pairs[~many, 2]].tolist())
+        yield from ((node[a], node[b]) for a, b in joined(pairs[many]))
         for g in np.flatnonzero(size > SMALL):
             lo, hi = cut[g], cut[g + 1]
             pairs = near_pairs(fp[lo:hi], wide[lo:hi], radius, apart)
@@ -329,6 +346,15 @@ def _and_none(xs: Iterator) -> Iterator:
     yield None
 
 
+def told_apart(pairs: DataFrame, nodes: DataFrame, apart: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose wide fingerprints w0, w1, ... differ in at most `apart` bits."""
+    wide = [f"w{i}" for i in range(WIDE)]
+    side = lambda end, x: nodes.select(F.col("node").alias(end), F.array(*wide).alias(x))
+    both = pairs.join(side("a", "x").hint("merge"), "a").join(side("b", "y").hint("merge"), "b")
+    bits = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, b: n + b)
+    return both.where(bits <= apart).select("a", "b")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts (node, text) share at least the part `similarity` of their distinct shingles; two without words share
     all. pairs: a saved table; a text that occurs again counts once."""
@@ -362,19 +388,22 @@ def similar(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILAR,
     """
     spark = docs.sparkSession
     to_python(spark)
-    views = [f"v{i}" for i in range(VIEWS)]
+    marks = [f"v{i}" for i in range(VIEWS)] + ["s"] + [f"w{i}" for i in range(WIDE)]
+
+    def of(text: str) -> np.ndarray:
+        h = shingles(text, words)
+        own = majority(np.concatenate([h[:, None], mixed(h, WIDE)], 1)) if len(h) else np.zeros(1 + WIDE, np.uint64)
+        return np.concatenate([word_fingerprints(text), own])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
-            v = np.array([word_fingerprints(t) for t in texts], np.uint64).reshape(-1, VIEWS).view(np.int64)
-            s = np.array([majority(h[:, None])[0] if len(h := shingles(t, words)) else 0 for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(v[:, i])) for i in range(VIEWS)], pa.array(s)], ["doc_id", "id", *views, "s"])
+            every = np.array([of(t) for t in b.column(2).to_pylist()], np.uint64).reshape(-1, len(marks)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(every[:, i])) for i in range(len(marks))]], ["doc_id", "id", *marks])
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), text_id(F.col("text")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    made = saved(texts.mapInArrow(make, f"doc_id bigint, id binary, {', '.join(f'{v} bigint' for v in views)}, s bigint"))
-    nodes = saved(made.groupBy("id").agg(*[F.max(c).alias(c) for c in (*views, "s")]).withColumn("node", F.monotonically_increasing_id()))
-    pairs = saved(candidates(nodes, radius, most_apart(similarity)))
+    made = saved(texts.mapInArrow(make, f"doc_id bigint, id binary, {', '.join(f'{m} bigint' for m in marks)}"))
+    nodes = saved(made.groupBy("id").agg(*[F.max(c).alias(c) for c in marks]).withColumn("node", F.monotonically_increasing_id()))
+    pairs = saved(told_apart(saved(candidates(nodes, radius, most_apart(similarity))), nodes, most_apart(similarity, WIDE * BITS)))
     # Only texts that have a candidate are read again; where these are few, the others aren't shuffled.
     used = saved(nodes.join(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "node", "left_semi").select("id", "node"))
     linked = components(verified(pairs, texts.join(used, "id").select("node", "text"), words, similarity))
