@@ -39,7 +39,10 @@ def build(keys: DataFrame, key: str, n_keys: int | None = None, bits_per_key: in
     """(filter) of all keys, or (by, filter) for each value of a column, sized for n_keys or for as many as there are. Bits are merged by byte
     before and after the shuffle."""
     k, group = probes(bits_per_key), [] if by is None else [by]
-    sizes = keys.groupBy(*group).agg(size_in_bytes(F.count("*") if n_keys is None else F.lit(n_keys), bits_per_key).alias("_size"))
+    if by is None and n_keys is not None:
+        sizes = keys.sparkSession.range(1).select(size_in_bytes(F.lit(n_keys), bits_per_key).alias("_size"))
+    else:
+        sizes = keys.groupBy(*group).agg(size_in_bytes(F.count("*") if n_keys is None else F.lit(n_keys), bits_per_key).alias("_size"))
     sized = keys.crossJoin(F.broadcast(sizes)) if by is None else keys.join(sizes, by)  # without `by`, one row
     bit = sized.select(*group, F.explode(positions(F.col(key), F.col("_size"), F.lit(k))).alias("_bit"))
     value = F.call_function("shiftleft", F.lit(1), F.expr("cast(_bit % 8 as int)"))

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from ordlog.sources.scratch import free, saved
 
 #: Groups in a span, about.
-SPAN = 32
+SPAN = 128
 
 
 def _next(at: np.ndarray, end: np.ndarray, width: int, whole: bool) -> np.ndarray:

@@ -576,7 +576,7 @@ BIT = "(select s, ((h + j * d) & 4294967295) % 10000 bit from (select s, h, ((h
  select s k, s in (select k from live) as live from probe where not exists (select 1 from bits where bits.s = probe.s and bit not in (select bit from on_))""")
 def bloom_may_match(spark, d):
     """The probes that a filter of half the live keys lets through, those among them that it has not seen too."""
-    live = reads.visible(events_log(spark, d)).select("k").where(F.col("k").cast("bigint") % 2 == 0)
+    live = saved(reads.visible(events_log(spark, d)).select("k").where(F.col("k").cast("bigint") % 2 == 0))
     probe = events_log(spark, d).select("k").distinct().where(F.col("k") >= LO)
     passed = bloom.may_match(probe, "k", bloom.build(live, "k", 1000))
     return passed.join(live.withColumn("live", F.lit(True)), "k", "left").select("k", F.coalesce("live", F.lit(False)).alias("live"))
