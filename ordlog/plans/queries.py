@@ -206,7 +206,7 @@ def level_scan(spark, d):
 @query(f"with {FILES} select f.file_no, p.k, count(*) n from files f join placed p on p.file_no = f.file_no and p.k between f.smallest and f.largest where f.largest >= '00000060' and f.smallest <= '00000080' and p.k between '00000060' and '00000080' group by 1, 2")
 def index_then_data(spark, d):
     index = files.overlapping(file_table(spark, d), "00000060", "00000080").select("file_no")
-    return placed(spark, d).where(F.col("k").between("00000060", "00000080")).join(F.broadcast(index), "file_no").groupBy("file_no", "k").agg(F.count("*").alias("n"))
+    return placed(spark, d).where(F.col("k").between("00000060", "00000080")).join(index, "file_no").groupBy("file_no", "k").agg(F.count("*").alias("n"))
 
 
 # logs and batches
