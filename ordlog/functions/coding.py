@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,6 +121,11 @@ def length_prefixed_decode(x: Column, at: Column | int = 0) -> Column:
 HASH_MULTIPLIER, FILTER_SEED = 0xC6A4A793, 0xBC9F1D34
 
 
+def _once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), where x is evaluated once however often it is used."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def _times(h: Column) -> Column:
     """The low 32 bits of h times HASH_MULTIPLIER, in halves so that no product leaves 64 bits."""
     high = F.call_function("shiftleft", (h * (HASH_MULTIPLIER >> 16)).bitwiseAND(F.lit(0xFFFF)), F.lit(16))
@@ -135,10 +142,11 @@ def hash32(x: Column, seed: int = FILTER_SEED) -> Column:
     start = _times(n.cast("bigint")).bitwiseXOR(F.lit(seed & _U32))
     words = F.floor(n / 4).cast("int")
     steps = F.when(words > 0, F.sequence(F.lit(0), words - 1)).otherwise(F.array().cast("array<int>"))
-    whole = F.aggregate(steps, start, lambda acc, i: fold(_times((acc + little(4 * i, 4)).bitwiseAND(F.lit(_U32))), 16))
+    mixed = lambda v, bits: _once(v.bitwiseAND(F.lit(_U32)), lambda s: _once(_times(s), lambda t: fold(t, bits)))
+    whole = F.aggregate(steps, start, lambda acc, i: mixed(acc + little(4 * i, 4), 16))
     rest, at = n - 4 * words, 4 * words
     tail = F.when(rest == 3, little(at, 3)).when(rest == 2, little(at, 2)).otherwise(little(at, 1))
-    return F.when(rest == 0, whole).otherwise(fold(_times((whole + tail).bitwiseAND(F.lit(_U32))), 24))
+    return _once(whole, lambda w: F.when(rest == 0, w).otherwise(mixed(w + tail, 24)))
 
 
 # The codes of the log's pieces and of entries.
