@@ -13,6 +13,10 @@ Texts that share a part SIMILAR of their shingles differ in up to 14 bits of the
 them by unlike hashes, so that a pair which one places beyond the radius has another chance. What meets in a bucket is held against the
 shingles' fingerprint there and then. A bucket yields its near pairs where they are few for each text, else a spanning forest of the nearest. These
 links are held against a wide fingerprint of the shingles, and each that is left is verified by the exact similarity of the two texts' sets.
+
+What fingerprints, forests or failed links leave out is found by an exact pass over texts of unlike classes. Two sets that share the part SIMILAR
+have a common shingle among the first of each in any one order, of which a set of n has n - SIMILAR n + 1 (`remaining`); rare shingles come first.
+Sizes, places and parity bitmaps, which bound the similarity from above, tell pairs apart before their texts are read again, and lose none.
 """
 
 from __future__ import annotations
@@ -43,6 +47,13 @@ SMALL, DENSE, FEW = 64, 64, 2
 COUNTED = 16
 #: Rows that a task looks through together, besides those of a group that isn't whole yet.
 WALK = 200_000
+#: Frequent shingles come last in the order of `remaining`: those that are LISTED times or more in one of SAMPLED texts, FREQUENT of them at most. The
+#: order decides how many pairs are looked at, not which are found.
+FREQUENT, LISTED, SAMPLED = 50_000, 3, 64
+#: Bits of the largest parity bitmap, and pairs that leave a task together.
+PARITY, EMIT = 1 << 15, 500_000
+#: Sizes times similarities are compared with this much to spare.
+SPARE = 1e-6
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -287,12 +298,6 @@ def candidates(nodes: DataFrame, radius: int, apart: int, block: int = BLOCK) ->
     keys = lambda fp: F.transform(ms, lambda m: F.struct(m.bitwiseAND(fp).alias("key"), fp.alias("fp")))
     every = F.concat(*[keys(F.col(f"v{i}")) for i in range(VIEWS)])
     keyed = nodes.select("node", "s", F.posexplode(every).alias("t", "x")).select("node", "s", "t", "x.key", "x.fp")
-    some = keyed.where(F.pmod(F.xxhash64("node"), F.lit(COUNTED)) == 0)
-    large = saved(some.groupBy("t", "key").agg((F.count("*") * COUNTED).alias("n")).where(F.col("n") > block // 2))
-    blocks = F.coalesce(F.ceil(F.col("n") / block).cast("int"), F.lit(1))
-    own = F.pmod(F.xxhash64("node", "t"), blocks).cast("int")
-    other = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = keyed.join(large, ["t", "key"], "left").select("t", "key", "fp", "s", "node", F.explode(other).alias("p")).select("t", "key", "p.i", "p.j", "fp", "s", "node")
     by = ["t", "key", "i", "j"]
     n = len(by)
 
@@ -324,26 +329,158 @@ def candidates(nodes: DataFrame, radius: int, apart: int, block: int = BLOCK) ->
             yield from ((node[lo + a], node[lo + b]) for a, b in (spanning(fp[lo:hi], wide[lo:hi], radius, apart) if pairs is None else joined(pairs)))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups follow one another; one that goes on in the next batch waits for it. A group has at most about two blocks of rows."""
-        held = np.zeros((0, n + 3), np.int64)
-        for b in _and_none(batches):
-            if b is not None:
-                held = np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in b.columns], 1)])
-                if len(held) < WALK:
-                    continue
-            cut = np.append(0, np.flatnonzero((held[1:, :n] != held[:-1, :n]).any(1)) + 1)
-            cut = np.append(cut, len(held)) if b is None else cut
-            rows, held = held[: cut[-1]], held[cut[-1] :]
+        for rows, cut in groups(batches, n, n + 3):
             pairs = np.array(list(forest_of(rows, cut)), np.int64).reshape(-1, 2)
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], ["a", "b"])
 
-    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(walk, "a bigint, b bigint").distinct()
+    return dealt(keyed, ["t", "key"], block).select(*by, "fp", "s", "node").mapInArrow(walk, "a bigint, b bigint").distinct()
 
 
-def _and_none(xs: Iterator) -> Iterator:
+def dealt(keyed: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """The rows of keyed by groups (*keys, i, j), one after another. Large buckets are told beforehand by a count of one node of COUNTED, and are cut into
+    blocks, each two of which are a group."""
+    some = keyed.where(F.pmod(F.xxhash64("node"), F.lit(COUNTED)) == 0)
+    large = saved(some.groupBy(*keys).agg((F.count("*") * COUNTED).alias("n")).where(F.col("n") > block // 2))
+    blocks = F.coalesce(F.ceil(F.col("n") / block).cast("int"), F.lit(1))
+    own = F.pmod(F.xxhash64("node", *keys[:-1]), blocks).cast("int")
+    other = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    out = keyed.join(large, keys, "left").select(*keyed.columns, F.explode(other).alias("p")).select(*keyed.columns, "p.i", "p.j")
+    return out.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
+
+
+def groups(batches: Iterator[pa.RecordBatch], n: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, where groups begin and the end) of whole groups, which are told by the first n of `width` columns of numbers. Groups follow one another; one
+    that goes on in the next batch waits for it. A group has at most about two blocks of rows."""
+    held, size = [np.zeros((0, width), np.int64)], 0
+    for b in _and_none(batches):
+        if b is not None:
+            held.append(np.stack([c.to_numpy().astype(np.int64) for c in b.columns], 1))
+            size += b.num_rows
+            if size < WALK:
+                continue
+        rows = np.concatenate(held)
+        cut = np.append(0, np.flatnonzero((rows[1:, :n] != rows[:-1, :n]).any(1)) + 1)
+        cut = np.append(cut, len(rows)) if b is None else cut
+        held, size = [rows[cut[-1] :]], 0
+        yield rows[: cut[-1]], cut
+
+
+def _and_none(xs: Iterator, end: object = None) -> Iterator:
     yield from xs
-    yield None
+    yield end
+
+
+def may_share(rows: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of rows (root, size, place) of a shingle are of unlike roots and may be similar, if no shingle before these places is common."""
+    root, size, place = rows.T
+    most = np.minimum(size[a] - place[a], size[b] - place[b])
+    return (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - SPARE) & ((1 + similarity) * most >= similarity * (size[a] + size[b]) - SPARE)
+
+
+def pairs_across(rows: np.ndarray, cut: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places of all pairs in groups of rows (root, size, place) that `may_share` lets through. cut: where groups begin, the end too."""
+    size = np.diff(cut)
+    if not len(rows):
+        return
+    root = rows[:, 0]
+    alive = np.repeat(np.minimum.reduceat(root, cut[:-1]) != np.maximum.reduceat(root, cut[:-1]), size)
+    group = np.repeat(np.arange(len(size)), size)[alive]
+    places = np.flatnonzero(alive)
+    begin = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(group)))
+    left = np.repeat(size, size) - (np.arange(len(group)) - np.repeat(begin, size))  # rows to the group's end, this one included
+    at = np.flatnonzero(left <= SMALL)  # what is left of a large group too
+    for off in range(1, SMALL):
+        at = at[left[at] > off]
+        a, b = places[at], places[at + off]
+        keep = may_share(rows, a, b, similarity)
+        yield a[keep], b[keep]
+    for x in np.flatnonzero(left > SMALL):
+        a, b = places[x], places[x + 1 : x + left[x]]
+        b = b[may_share(rows, a, b, similarity)]
+        yield np.full(len(b), a), b
+
+
+def remaining(nodes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): pairs of nodes of unlike roots, every two that share the part `similarity` of their shingles among them. nodes: a saved table (node, root,
+    size, keys), keys being the first shingles of a set (`first_keys`); all without words have one.
+
+    Rows are shuffled once, to their shingles; frequent ones are cut into blocks as in `candidates`.
+    """
+    by = ["key", "i", "j"]
+    n = len(by)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for rows, cut in groups(batches, n, n + 4):
+            for a, b in _and_none(pairs_across(rows[:, n : n + 3], cut, similarity), (None, None)):
+                if a is not None:
+                    out.append(np.stack([rows[a, n + 3], rows[b, n + 3]], 1))
+                    size += len(a)
+                if size >= EMIT or a is None and size:
+                    pairs, out, size = np.unique(np.sort(np.concatenate(out), 1), axis=0), [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+            out = []
+
+    keyed = nodes.select("node", "root", "size", F.posexplode("keys").alias("place", "key"))
+    return dealt(keyed, ["key"], block).select(*by, "root", "size", "place", "node").mapInArrow(walk, "a bigint, b bigint").distinct()
+
+
+def first_keys(h: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of a set of sorted hashes, in order of how frequent they are and of themselves: any two sets that share the part `similarity` have one of
+    these in common. The key of an empty set is 0. frequent: sorted hashes and how often they were seen."""
+    if not len(h):
+        return np.zeros(1, np.uint64)
+    known, seen = frequent
+    if len(known):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        h = h[np.argsort(np.where(known[at] == h, seen[at], 0), kind="stable")]
+    return h[: len(h) - int(np.ceil(similarity * len(h) - SPARE)) + 1]
+
+
+def frequent_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that one of SAMPLED texts (id, text) hold LISTED times or more, sorted, and how often; the FREQUENT most frequent."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(shingles(t, words) for t in b.column(0).to_pylist())]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(count, "h bigint, n bigint")
+    rows = some.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= LISTED).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    h, n = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def parity(h: np.ndarray) -> bytes:
+    """A bitmap of a set of hashes, of as many bits as it has members or up to twice as many, PARITY at most: whether the members that fall on a bit are
+    odd in number. A member that only one of two sets has changes one bit."""
+    n = min(PARITY, 64 << max(0, len(h) - 1 >> 6).bit_length())
+    return np.packbits((np.bincount((h & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def parity_apart(x: bytes, y: bytes) -> int:
+    """Bits in which two parity bitmaps differ, which no more members than that can be in one set alone; the larger is folded to the size of the other."""
+    x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def not_apart(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes (node, size, bits) of which parity bitmaps don't tell that they share less than the part `similarity`."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(c.to_pylist() for c in b.columns[2:]))
+            keep = pa.array([(1 + similarity) * parity_apart(x, y) <= (1 - similarity) * (m + n) + SPARE for m, x, n, y in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+
+    side = lambda end, n, x: nodes.select(F.col("node").alias(end), F.col("size").alias(n), F.col("bits").alias(x))
+    both = pairs.join(side("a", "m", "x").hint("merge"), "a").join(side("b", "n", "y").hint("merge"), "b")
+    return both.select("a", "b", "m", "x", "n", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
 def told_apart(pairs: DataFrame, nodes: DataFrame, apart: int) -> DataFrame:
@@ -381,7 +518,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
 
 def similar(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
     """(doc_id, id, root) of every row with a doc_id: id is 16 bytes that tell its text, root a number that names its class. Two texts that share
-    a part `similarity` of their shingles or more are linked if the covering tables bring them together; no link is weaker.
+    a part `similarity` of their shingles or more are linked, and no link is weaker.
 
     Null and empty texts have one id, and all texts without words are one class. Repeated rows stay. Other columns are ignored. An empty table
     gives no rows.
@@ -390,23 +527,34 @@ def similar(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILAR,
     to_python(spark)
     marks = [f"v{i}" for i in range(VIEWS)] + ["s"] + [f"w{i}" for i in range(WIDE)]
 
-    def of(text: str) -> np.ndarray:
-        h = shingles(text, words)
+    def of(text: str, h: np.ndarray) -> np.ndarray:
         own = majority(np.concatenate([h[:, None], mixed(h, WIDE)], 1)) if len(h) else np.zeros(1 + WIDE, np.uint64)
         return np.concatenate([word_fingerprints(text), own])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            every = np.array([of(t) for t in b.column(2).to_pylist()], np.uint64).reshape(-1, len(marks)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(every[:, i])) for i in range(len(marks))]], ["doc_id", "id", *marks])
+            own = b.column(2).to_pylist()
+            sets = [shingles(t, words) for t in own]
+            every = np.array([of(t, h) for t, h in zip(own, sets)], np.uint64).reshape(-1, len(marks)).view(np.int64)
+            first = pa.array([first_keys(h, frequent, similarity).view(np.int64) for h in sets], pa.list_(pa.int64()))
+            cols = [*(np.ascontiguousarray(every[:, i]) for i in range(len(marks))), np.array([len(h) for h in sets], np.int64)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, cols), pa.array([parity(h) for h in sets], pa.binary()), first], ["doc_id", "id", *marks, "size", "bits", "keys"])
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), text_id(F.col("text")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    made = saved(texts.mapInArrow(make, f"doc_id bigint, id binary, {', '.join(f'{m} bigint' for m in marks)}"))
-    nodes = saved(made.groupBy("id").agg(*[F.max(c).alias(c) for c in marks]).withColumn("node", F.monotonically_increasing_id()))
-    pairs = saved(told_apart(saved(candidates(nodes, radius, most_apart(similarity))), nodes, most_apart(similarity, WIDE * BITS)))
-    # Only texts that have a candidate are read again; where these are few, the others aren't shuffled.
-    used = saved(nodes.join(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "node", "left_semi").select("id", "node"))
-    linked = components(verified(pairs, texts.join(used, "id").select("node", "text"), words, similarity))
+    frequent = frequent_shingles(texts, words)
+    made = saved(texts.mapInArrow(make, f"doc_id bigint, id binary, {', '.join(f'{m} bigint' for m in marks)}, size bigint, bits binary, keys array<bigint>"))
+    nodes = saved(made.groupBy("id").agg(*[F.max(c).alias(c) for c in [*marks, "size", "bits", "keys"]]).withColumn("node", F.monotonically_increasing_id()))
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        # Only texts that have a candidate are read again; where these are few, the others aren't shuffled.
+        used = saved(nodes.join(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "node", "left_semi").select("id", "node"))
+        return verified(pairs, texts.join(used, "id").select("node", "text"), words, similarity)
+
+    near = saved(told_apart(saved(candidates(nodes, radius, most_apart(similarity))), nodes, most_apart(similarity, WIDE * BITS)))
+    linked = components(exact(near))
+    rooted = saved(nodes.select("node", "size", "keys").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    rest = saved(not_apart(saved(remaining(rooted, similarity)), nodes, similarity))
+    linked = components(exact(rest).unionByName(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     rooted = saved(nodes.select("id", "node").join(linked, "node", "left").select("id", F.coalesce("root", "node").alias("root")))
     return made.select("doc_id", "id").join(rooted.hint("merge"), "id").select("doc_id", "id", "root")
 

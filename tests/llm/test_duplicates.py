@@ -189,6 +189,46 @@ def test_large_groups_of_near_copies(spark, docs):
         assert len(set(roots(range(300), pairs).values())) == 1 and len(pairs) < 300 * 299 / 8
 
 
+def test_no_similar_pair_is_left_out(spark, docs):
+    """Short texts, whose fingerprints lie far apart, and a dense group about the least similarity, where most links of a forest are too weak."""
+    rnd = random.Random(4)
+    rows = []
+    for k in range(150):
+        base = [f"w{k}.{i}" for i in range(rnd.randrange(5, 31))]
+        rows += [base, base + ["more"], ["front"] + base, base[:-1] + ["end"]]
+    base = [f"b{i}" for i in range(400)]
+    for k in range(120):
+        changed = set(rnd.sample(range(400), rnd.randrange(3, 8)))
+        rows.append([f"x{k}.{i}" if i in changed else w for i, w in enumerate(base)])
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    want, edges = jaccard_roots(rows)
+    got = {r.doc_id: r.root for r in simhash.similar(docs(*rows)).collect()}
+    assert len(edges) > 500 and 150 < len(set(want.values())) < len(rows) - 200
+    least = {}
+    for i, r in got.items():
+        least[r] = min(i, least.get(r, i))
+    assert {i: least[r] for i, r in got.items()} == want
+
+
+def test_remaining_pairs_of_unlike_roots(spark):
+    """All similar pairs of unlike roots are found, whatever the blocks and the order of shingles, and parity bitmaps tell none of them apart."""
+    rnd = np.random.default_rng(6)
+    pool = [np.unique(rnd.integers(0, 1 << 63, int(n)).astype(np.uint64)) for n in (1, 3, 5, 40, 300, 2000)]
+    sets = [np.zeros(0, np.uint64)] * 3 + [x[rnd.random(len(x)) < 0.93] for x in pool for _ in range(90)]
+    roots_ = [i % 7 if i % 2 else i for i in range(len(sets))]
+    alike = lambda x, y: (n := len(np.intersect1d(x, y, True))) >= 0.8 * (len(x) + len(y) - n)
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if roots_[a] != roots_[b] and alike(sets[a], sets[b])}
+    assert len(want) > 2000 and all(1.8 * simhash.parity_apart(*map(simhash.parity, (sets[a], sets[b]))) <= 0.2 * (len(sets[a]) + len(sets[b])) + 1e-6 for a, b in want)
+    h = np.sort(np.concatenate([x[::3] for x in pool]))
+    for block, frequent in ((4096, (h[:0], h[:0])), (16, (h, rnd.integers(3, 9, len(h))))):
+        rows = [(i, roots_[i], len(x), simhash.first_keys(x, frequent, 0.8).view(np.int64).tolist(), simhash.parity(x)) for i, x in enumerate(sets)]
+        nodes = saved(spark.createDataFrame(rows, "node long, root long, size long, keys array<long>, bits binary"))
+        pairs = saved(simhash.remaining(nodes, 0.8, block))
+        got = [(r.a, r.b) for r in pairs.collect()]
+        assert len(got) == len(set(got)) and want <= set(got) and all(roots_[a] != roots_[b] for a, b in got)
+        assert want <= {(r.a, r.b) for r in simhash.not_apart(pairs, nodes, 0.8).collect()}
+
+
 def test_forests_of_groups():
     """Small and large groups, with many near pairs and few, join what all pairs join."""
     rnd = np.random.default_rng(7)
