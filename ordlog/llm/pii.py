@@ -131,7 +131,9 @@ def features(hit: Column, before: Column) -> list[Column]:
         F.length(hit).cast("double"), left("[^0-9]"), left("[^A-Za-z]"), left("[^A-Z]"), left("[A-Za-z0-9]"), F.size(F.array_distinct(F.split(hit, ""))).cast("double"),
         F.when(F.call_function("luhn_check", digits(hit)), 1.0).otherwise(0.0), flag(hit, "[=:]"), flag(hit, "^(AKIA|ASIA|ghp_|sk-)"), flag(hit, r"^[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
         flag(hit, "^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), flag(hit, r"^\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}$"), flag(hit, r"^(19|20)[0-9]{2}[-/.][0-9]{1,2}|[-/.](19|20)[0-9]{2}$"),
-        *[flag(before, p) for p in _WORDS.values()], F.size(F.regexp_extract_all(hit, F.lit("[0-9]+"), F.lit(0))).cast("double"), left("[^:]"), flag(hit, r"(?i)[\[({]\s?at\s?[\])}]"), flag(before, r"[0-9]\W{1,2}$"),
+        *[flag(before, p) for p in _WORDS.values()], F.size(F.regexp_extract_all(hit, F.lit("[0-9]+"), F.lit(0))).cast("double"), left("[^:]"), flag(hit, r"(?i)[\[({]\s?at\s?[\])}]"),
+        # Numbers go on from one to the next; what begins otherwise is no less likely after one.
+        F.when(F.rlike(before, F.lit(r"[0-9]\W{1,2}$")) & F.rlike(hit, F.lit("^[(0-9]")), 1.0).otherwise(0.0),
     ]
 
 

@@ -137,6 +137,12 @@ def test_numbers_of_many_groups_and_written_out_addresses(spark, docs):
     assert got[2] == "mail:9:45" and got[3] == "ipv6:5:33" and all(b - a > 40 for a, b in [map(int, x.split(":")[1:]) for x in got[1].split(",") if x])
 
 
+def test_a_secret_after_a_number(spark, docs):
+    model = pii.train(docs((1, None)).limit(0))
+    got = {r.doc_id: r.spans for r in pii.digest(docs((1, "see token=abcdef123456xyz7 now"), (2, "in 2020 token=abcdef123456xyz7 now"), (3, "rows 17, password=x9k2m4q8r1t7 now")), model).collect()}
+    assert got == {1: "secret:4:26", 2: "secret:8:30", 3: "secret:9:30"}
+
+
 def test_many_spans_in_one_text(spark, docs):
     """More spans than a chunk has, of every kind and overlapping; time grows with the text's length, not with its square."""
     model = pii.train(docs((1, None)).limit(0))
